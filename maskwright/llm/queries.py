@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding
+from . import packing, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op6_token_counts": tokens.op6_token_counts,
     }
 
 
