@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, tokens
+from . import jaccard_join, packing, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_counts": tokens.op6_token_counts,
     }
 
