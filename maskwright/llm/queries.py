@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, quality, sharding, tokens
+from . import decontamination, jaccard_join, line_dedup, packing, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_decontamination": decontamination.op2_decontamination,
         "op3_packing": packing.op3_packing,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_counts": tokens.op6_token_counts,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
