@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, line_dedup, packing, quality, sharding, tokens
+from . import decontamination, html_extraction, jaccard_join, line_dedup, packing, quality, quality_classifier, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_counts": tokens.op6_token_counts,
+        "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+        "op9_html_extraction": html_extraction.op9_html_extraction,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
