@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, jaccard_join, line_dedup, packing, quality, quality_classifier, sharding, tokens
+from . import decontamination, html_extraction, jaccard_join, line_dedup, packing, pseudo_likelihood, quality, quality_classifier, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_counts": tokens.op6_token_counts,
         "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+        "op8_pseudo_likelihood": pseudo_likelihood.op8_pseudo_likelihood,
         "op9_html_extraction": html_extraction.op9_html_extraction,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
