@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table
-from .shingles import SHINGLE, shingle_hashes, word_hashes, words
+from .shingles import SHINGLE, shingle_hashes, word_hashes
 from .tokens import slices
 
 THRESHOLD = 0.75
@@ -100,10 +100,10 @@ class Detector:
         self.tables: dict[int, Tables] = {}
         known: dict[int, list[np.ndarray]] = defaultdict(list)
         for item_id, text in items:
-            tokens = words(text)
-            if not (n := len(tokens)):
+            hashes = word_hashes(text)
+            if not (n := len(hashes)):
                 continue
-            s = shingle_hashes(word_hashes(tokens))
+            s = shingle_hashes(hashes)
             known[min(n, SHINGLE)].append(s)
             table = self.tables.setdefault(n, Tables(radius))
             table.add(item_id, Counter(s.tolist()), int(fingerprints(s, np.zeros(1, np.int64), len(s))[0]))
@@ -115,7 +115,7 @@ class Detector:
 
     def find(self, text: str | None) -> list[tuple[int | None, int, int, int, float]]:
         """(item_id, start word, words, distance, similarity) of each leak; spans of one item don't overlap."""
-        hashes = word_hashes(words(text))
+        hashes = word_hashes(text)
         out = []
         for width, known in self.known.items():
             if len(hashes) < width:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table
-from .shingles import SHINGLE, shingle_hashes, word_hashes, words
+from .shingles import SHINGLE, shingle_hashes, word_hashes
 from .tokens import slices
 
 WORD_BITS = 15
@@ -45,8 +45,8 @@ STATS = (
 N_FEATURES = (1 << WORD_BITS) + len(STATS)
 
 
-def statistics(text: str, raw: bytes, tokens: list[bytes], hashes: np.ndarray, counts: np.ndarray, stored: float | None) -> np.ndarray:
-    n = len(tokens) or 1
+def statistics(text: str, raw: bytes, hashes: np.ndarray, counts: np.ndarray, stored: float | None) -> np.ndarray:
+    n = len(hashes) or 1
     codes = np.frombuffer(raw, np.uint8)
     size = len(codes) or 1
     capital = int(((codes >= 65) & (codes <= 90)).sum())
@@ -62,7 +62,7 @@ def statistics(text: str, raw: bytes, tokens: list[bytes], hashes: np.ndarray, c
     return np.array(
         [
             1.0,
-            np.log1p(len(tokens)) / 8,
+            np.log1p(len(hashes)) / 8,
             np.log1p(size) / 10,
             min(size / n, 40) / 10,
             min(symbols / n, 4),
@@ -80,7 +80,7 @@ def statistics(text: str, raw: bytes, tokens: list[bytes], hashes: np.ndarray, c
             np.log1p(len(lines)) / 5,
             np.log1p(max(stored, 0.0)) / 10,
             min(abs(stored - own) / (own + 1), 4),
-            float(not tokens),
+            float(not len(hashes)),
         ],
         np.float32,
     )
@@ -90,13 +90,12 @@ def features(text: str | None, stored: float | None = None) -> tuple[np.ndarray,
     """Places and values of a document's vector, places ascending and distinct."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
-    tokens = words(text)
-    hashes = word_hashes(tokens)
+    hashes = word_hashes(text)
     places, counts = np.unique(hashes & np.uint64((1 << WORD_BITS) - 1), return_counts=True)
     values = np.log1p(counts).astype(np.float32)
     if len(values):
         values /= np.sqrt((values * values).sum())
-    stats = statistics(text, raw, tokens, hashes, counts, stored)
+    stats = statistics(text, raw, hashes, counts, stored)
     at = np.arange(1 << WORD_BITS, N_FEATURES)
     return np.concatenate([places.astype(np.int64), at]), np.concatenate([values, stats])
 
