@@ -17,15 +17,19 @@ def find_spans(text: Column, pattern: str, kind: str | None = None) -> Column:
     regex = P.java(pattern)
     matches = F.regexp_extract_all(text, F.lit(f"({regex})"), F.lit(1))
     gaps = F.split(text, regex, -1)
+    # a gap and the match after it travel together: a lambda that named the arrays would split the
+    # text anew for every match
+    pairs = F.zip_with(gaps, matches, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), empty.alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(acc: Column, value: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, acc["i"]))
-        end = start + F.length(value)
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("spans"))
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + p["gap"]
+        end = start + F.length(p["value"])
+        found = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))
+        return F.when(p["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["spans"], F.array(found)).alias("spans")))
 
-    spans = F.aggregate(matches, zero, step, lambda acc: acc["spans"])
+    spans = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
     if kind is None:
         return spans
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("type")))

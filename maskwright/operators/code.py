@@ -169,8 +169,8 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
     properties: dict[str, Declaration] = {}
     top = Scope(None, "block")
     scope_at: list[Scope] = []
-    params: dict[int, int] = {}  # first and last place of a parameter list, by the place of its scope's start
-    pending: dict[int, tuple[str, list[tuple[str, Declaration | None]]]] = {}
+    pending: dict[int, tuple[str, list[tuple[Token, str | None]], tuple[int, int]]] = {}
+    none = (0, 0)
 
     def declare(scope: Scope, t: Token, kind: str | None, role: str | None = None) -> None:
         if kind is None and not everything:
@@ -219,8 +219,11 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
             inner = Scope(scope, kind)
             scopes.append(inner)
             ends.append(close[i])
-            for name in pending.pop(i, ("", []))[1]:
+            _, own, (lo, hi) = pending.pop(i, ("", [], none))
+            for name in own:
                 declare(inner, *name)
+            for k in range(lo, hi):  # a parameter list belongs to its function's scope
+                scope_at[k] = inner
             scope = inner
         scope_at.append(scope)
         if t.kind != "name":
@@ -252,14 +255,14 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
                 while j < len(code) and code[j].text not in ("{", ";", "}"):
                     j += 1
                 if j in close:
-                    pending[j] = ("block", own)
+                    pending[j] = ("block", own, (k, close[k] + 1))
         elif t.text in ("class", "interface") and following.kind == "name":
             declare(scope, following, "class" if t.text == "class" else "type")
             j = i + 1
             while j < len(code) and code[j].text != "{":
                 j += 1
             if j in close:
-                pending[j] = (t.text, [])
+                pending[j] = (t.text, [], none)
         elif t.text == "type" and following.kind == "name" and i + 2 < len(code) and code[i + 2].text in ("=", "<"):
             declare(scope, following, "type")
         elif t.text in ("const", "let", "var"):
@@ -290,7 +293,7 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
                     continue
                 break
         elif t.text == "catch" and following.text == "(" and i + 1 in close:
-            pending[close[i + 1] + 1] = ("block", [(x, None) for x in names_in(i + 2, close[i + 1])])
+            pending[close[i + 1] + 1] = ("block", [(x, None) for x in names_in(i + 2, close[i + 1])], (i + 1, close[i + 1] + 1))
         elif scope.kind == "interface" and before in ("{", ";", ",", "readonly", "") or (scope.kind == "interface" and i and "\n" in _gap(code, i)):
             if following.text in (":", "?") and t.text not in ("readonly",):
                 if t.text not in properties:
@@ -308,8 +311,11 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
                 while j < len(code) and code[j].text not in ("=>", ";", "{", ",", ")"):
                     j += 1
             if j < len(code) and code[j].text == "=>":
+                inner = _arrow_scope(scope_at, code, j + 1, close, i)
                 for x in names_in(i + 1, close[i]):
-                    declare(_arrow_scope(scope_at, code, j + 1, close, i), x, None)
+                    declare(inner, x, None)
+                for k in range(i, close[i] + 1):
+                    scope_at[k] = inner
     # second pass: sites
     sites: list[tuple[int, int, Declaration, bool]] = []
     unresolved: list[tuple[int, int, str]] = []
@@ -349,8 +355,7 @@ def _arrow(code, i, at, body, close, pending, declare, scope) -> None:
     """A lone parameter before an arrow is opaque in the arrow's body, or where that is an expression
     in the scope around it."""
     if body in close and code[body].text == "{":
-        kind, own = pending.get(body, ("block", []))
-        pending[body] = (kind, [*own, (code[i], None)])
+        pending[body] = ("block", [(code[i], None)], (i, i + 1))
     else:
         declare(scope, code[i], None)
 
@@ -684,7 +689,7 @@ def obfuscate_files(df: DataFrame, session: str, path: str, source: str, style:
         kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.int64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[session, path, "output", "changed", "mapping", "comments", "strings", "constants"])
 
-    return df.select(F.col(session).cast("string").alias(session), path, source).groupBy(session).applyInArrow(run, schema)
+    return df.select(F.col(session).cast("string").alias(session), path, source).groupBy(session).applyInArrow(lambda key, table: run(key, table), schema)
 
 
 def tokens_of(df: DataFrame, key: str, source: str) -> DataFrame:

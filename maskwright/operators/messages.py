@@ -33,7 +33,7 @@ def blocks(df: DataFrame, key: str, body: str = "body") -> DataFrame:
         F.when(F.col("content").isNotNull(), F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text")))))
     )
     rows = shaped.select(key, "msg", "role", F.posexplode(many).alias("block", "b")).filter(F.json_object_keys("b").isNotNull())
-    return rows.select(key, "msg", "block", "role", F.from_json("b", BLOCK).alias("v")).select(key, "msg", "block", "role", "v.*")
+    return rows.select(key, "msg", "block", "role", F.from_json("b", BLOCK).alias("v")).select(key, "msg", "block", "role", "v.type", F.col("v.id").alias("call_id"), "v.name", "v.input", "v.tool_use_id", "v.content", "v.text")
 
 
 def nested_text(content: Column) -> Column:
@@ -49,9 +49,9 @@ def label(name: Column, path: Column, command: Column) -> Column:
 
 def calls(rows: DataFrame, key: str) -> DataFrame:
     """The last call of each id with its label."""
-    used = rows.filter("type = 'tool_use' AND id IS NOT NULL")
+    used = rows.filter("type = 'tool_use' AND call_id IS NOT NULL")
     place = F.struct("msg", "block")
-    last = used.groupBy(key, F.col("id").alias("tool_use_id")).agg(F.max_by("name", place).alias("tool"), F.max_by("input", place).alias("args"))
+    last = used.groupBy(key, F.col("call_id").alias("tool_use_id")).agg(F.max_by("name", place).alias("tool"), F.max_by("input", place).alias("args"))
     path, command = (F.try_element_at("args", F.lit(k)) for k in ("file_path", "command"))
     return last.select(key, "tool_use_id", "tool", label(F.col("tool"), path, command).alias("label"))
 

@@ -210,7 +210,7 @@ def mapping_lookup(spark, sf):
 
 
 @query("""WITH u AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), z AS (SELECT max(ts) AS now FROM events)
-SELECT user_id, epoch_ms(now) - epoch_ms(last) AS idle_ms, epoch_ms(now) - epoch_ms(last) >= 1800000 AS is_expired FROM u, z""")
+SELECT user_id, epoch_us(now) // 1000 - epoch_us(last) // 1000 AS idle_ms, epoch_us(now) // 1000 - epoch_us(last) // 1000 >= 1800000 AS is_expired FROM u, z""")
 def mapping_ttl(spark, sf):
     e = T.table(spark, sf, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
     now = e.agg(F.max("ts").alias("now"))  # one row

@@ -17,7 +17,7 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_events(table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"))
 
 
-EVENTS_SQL = """SELECT coalesce(CASE event_type WHEN 'click' THEN 'identifier' WHEN 'view' THEN 'comment' WHEN 'purchase' THEN 'string' WHEN 'signup' THEN 'secret' ELSE event_type END, 'unknown') AS category,
+EVENTS_SQL = """SELECT coalesce(CASE event_type WHEN 'click' THEN 'identifier' WHEN 'view' THEN 'comment' WHEN 'purchase' THEN 'string' WHEN 'signup' THEN 'secret' END, 'unknown') AS category,
  sha256(event_id::VARCHAR) AS value_hash, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, user_id::VARCHAR AS session_id FROM events"""
 
 

@@ -101,7 +101,7 @@ def restore_frames(df: DataFrame, key: str, order: str, frame: str, mapping: dic
         out = [x for f in rows.sort_values(order)[frame] for x in tool.push(f)] + tool.flush()
         return pd.DataFrame({key: [str(k[0])] * len(out), "seq": range(len(out)), "frame": out})
 
-    return df.withColumn(key, F.col(key).cast("string")).groupBy(key).applyInPandas(run, schema)
+    return df.withColumn(key, F.col(key).cast("string")).groupBy(key).applyInPandas(lambda k, rows: run(k, rows), schema)
 
 
 class FrameProcessor(StatefulProcessor):
