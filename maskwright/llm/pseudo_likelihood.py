@@ -21,18 +21,16 @@ are scored. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import drop_staged, read_table, staged
-from .shingles import words
-from .tokens import slices
+from .shingles import words_and_endings_of
+from .tokens import batches_of, slices
 
 GROUPS = MEMBERS = 32
 VOCABULARY = GROUPS * MEMBERS
@@ -41,13 +39,13 @@ WORDS = VOCABULARY - ENDINGS
 SIDE = 2
 SLOTS = (-2, -1, 1, 2)
 EMBEDDED, HIDDEN = 12, 24
-STRIDE = 32
+STRIDE = 64
 ROUNDS = 2
 BATCH = 256
 RATE = 0.08
 FAN_IN = 256
-#: Different words that a worker counts before it hands them on.
-COUNTED = 300_000
+#: Words that a worker counts before it hands the counts on.
+COUNTED = 1_000_000
 #: Tokens scored at once.
 SCORED = 1 << 15
 
@@ -58,11 +56,6 @@ _SHAPES = {
 _SIZES = {k: int(np.prod(v)) for k, v in _SHAPES.items()}
 
 
-def ending(word: bytes) -> int:
-    """The bucket of a word outside the vocabulary: its last three bytes."""
-    return xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
-
-
 def _log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(axis=-1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
@@ -111,9 +104,9 @@ class Network:
                 past += grad * grad
                 own -= rate * grad / np.sqrt(past + 1e-6)
                 return
-            keys, at = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(keys), *grad.shape[1:]), np.float32)
-            np.add.at(total, at, grad / n)
+            order = np.argsort(rows, kind="stable")
+            keys, at = np.unique(rows[order], return_index=True)
+            total = np.add.reduceat(grad[order], at, axis=0) / n
             past[keys] += total * total
             own[keys] -= rate * total / np.sqrt(past[keys] + 1e-6)
 
@@ -145,73 +138,80 @@ class Network:
 
 
 class Tokens:
-    """Words to ids, with a bounded memory of endings."""
+    """Texts to ids. ``vocabulary`` holds hashes of words, most frequent first."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.order = np.argsort(vocabulary)
+        self.sorted = vocabulary[self.order]
 
-    def __init__(self, vocabulary: list[bytes]):
-        self.base = {w: i for i, w in enumerate(vocabulary)}
-        self.known = dict(self.base)
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        hashes, endings, counts = words_and_endings_of(texts)
+        out = (endings % np.uint64(ENDINGS)).astype(np.int64) + WORDS
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+            known = self.sorted[at] == hashes
+            out[known] = self.order[at[known]]
+        return out, counts
 
-    def ids(self, text: str | None) -> np.ndarray:
-        tokens = words(text)
-        got = list(map(self.known.get, tokens))
-        for i, x in enumerate(got):
-            if x is None:
-                w = tokens[i]
-                got[i] = self.known.get(w)
-                if got[i] is None:
-                    got[i] = self.known[w] = WORDS + ending(w)
-        if len(self.known) > COUNTED:
-            self.known = dict(self.base)
-        return np.array(got, np.int64)
 
+def padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with ``SIDE`` tokens for an edge before and after every text, and each id's place there."""
+    at = np.arange(len(ids)) + SIDE * (np.repeat(np.arange(len(counts)), counts) + 1)
+    wide = np.full(len(ids) + SIDE * (len(counts) + 1), VOCABULARY)
+    wide[at] = ids
+    return wide, at
 
-def contexts_of(ids: np.ndarray) -> np.ndarray:
-    """The neighbours of every token; the text's edges are a token of their own."""
-    wide = np.concatenate([np.full(SIDE, VOCABULARY), ids, np.full(SIDE, VOCABULARY)])
-    return np.stack([wide[SIDE + s : SIDE + s + len(ids)] for s in SLOTS], axis=1)
+
+def contexts_of(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The neighbours of the tokens at the given places."""
+    return wide[at[:, None] + np.array(SLOTS)]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, bucket, n) over all texts; each worker counts before the shuffle."""
+    """(word, bucket, n) over all texts, words by their hash; each worker counts before the shuffle."""
 
     def run(batches):
-        counts: Counter[bytes] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
 
         def flush():
-            keys = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([ending(w) for w in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "bucket", "n"])
-            counts.clear()
-            return out
+            hashes, endings = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, at, n = np.unique(hashes, return_index=True, return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((endings[at] % np.uint64(ENDINGS)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "bucket", "n"])
 
         for batch in batches:
             for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    counts.update(words(text))
-                if len(counts) > COUNTED:
-                    yield flush()
-        if counts:
+                texts = part.column(0).to_pylist()
+                for run_of in batches_of(texts):
+                    held.append(words_and_endings_of(texts[run_of])[:2])
+                    waiting += len(held[-1][0])
+                    if waiting >= COUNTED:
+                        yield flush()
+                        waiting = 0
+        if held:
             yield flush()
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, bucket int, n long")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, bucket int, n long")
     return rows.groupBy("word", "bucket").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words (ties by spelling) and the count of every token of the model."""
+def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words (ties by hash) and the count of every token of the model."""
     counts = staged(word_counts(docs, text_col), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     totals = np.zeros(VOCABULARY)
-    for i, r in enumerate(top):
-        totals[i] = r["n"]
+    totals[: len(top)] = [r["n"] for r in top]
     for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         totals[WORDS + r["bucket"]] = r["n"]
     for r in top:
         totals[WORDS + r["bucket"]] -= r["n"]
     drop_staged(counts)
-    return [bytes(r["word"]) for r in top], totals
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64), totals
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[list[bytes], Network]:
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[np.ndarray, Network]:
     """Count, then let all partitions train and average, ``rounds`` times."""
     known, counts = vocabulary(docs, text_col)
     model = Network.started(counts)
@@ -221,7 +221,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
     return known, model
 
 
-def _averaged(texts: DataFrame, known: list[bytes], model: Network, stride: int, k: int) -> Network | None:
+def _averaged(texts: DataFrame, known: np.ndarray, model: Network, stride: int, k: int) -> Network | None:
     shared = texts.sparkSession.sparkContext.broadcast((known, model.flat))  # fixed size
 
     def run(batches):
@@ -234,19 +234,24 @@ def _averaged(texts: DataFrame, known: list[bytes], model: Network, stride: int,
         waiting = seen = docs_seen = 0
         for batch in batches:
             for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    docs_seen += 1
-                    ids = tool.ids(text)
-                    at = np.arange((docs_seen * 7 + k * 13) % stride, len(ids), stride)
-                    if not len(at):
-                        continue
-                    held.append((contexts_of(ids)[at], ids[at]))
-                    waiting += len(at)
-                    while waiting >= BATCH:
+                texts = part.column(0).to_pylist()
+                for run_of in batches_of(texts):
+                    ids, counts = tool.ids(texts[run_of])
+                    wide, at = padded(ids, counts)
+                    # each document starts at another of its first ``stride`` tokens
+                    first = ((docs_seen + np.arange(len(counts))) * 7 + k * 13) % stride
+                    docs_seen += len(counts)
+                    place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    chosen = at[place % stride == np.repeat(first, counts)]
+                    held.append((contexts_of(wide, chosen), wide[chosen]))
+                    waiting += len(chosen)
+                    if waiting >= BATCH:
                         c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-                        own.train(c[:BATCH], t[:BATCH], memory)
-                        seen += BATCH
-                        held, waiting = ([(c[BATCH:], t[BATCH:])] if len(t) > BATCH else []), len(t) - BATCH
+                        whole = waiting // BATCH * BATCH
+                        for i in range(0, whole, BATCH):
+                            own.train(c[i : i + BATCH], t[i : i + BATCH], memory)
+                        seen += whole
+                        held, waiting = [(c[whole:], t[whole:])], waiting - whole
         if waiting:
             c, t = (np.concatenate(x) for x in zip(*held, strict=True))
             own.train(c, t, memory)
@@ -278,7 +283,7 @@ def _mean(rows: list[dict]) -> tuple[np.ndarray, int]:
     return (total / n).astype(np.float32), n
 
 
-def score(docs: DataFrame, known: list[bytes], model: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, known: np.ndarray, model: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_probability) of each row."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((known, model.flat))  # fixed size
@@ -288,25 +293,20 @@ def score(docs: DataFrame, known: list[bytes], model: Network, id_col: str = "do
         tool, net = Tokens(names), Network(flat)
         for batch in batches:
             for part in slices(batch):
-                ids = [tool.ids(text) for text in part.column(1).to_pylist()]
-                sums = np.zeros(len(ids))
-                waiting: list[int] = []
-                size = 0
-                for i, x in enumerate(ids):
-                    waiting.append(i)
-                    size += len(x)
-                    if size >= SCORED or i == len(ids) - 1:
-                        c = np.concatenate([contexts_of(ids[j]) for j in waiting])
-                        t = np.concatenate([ids[j] for j in waiting])
-                        own = np.repeat(np.arange(len(waiting)), [len(ids[j]) for j in waiting])
-                        got = np.zeros(len(waiting))
-                        for k in range(0, len(t), SCORED):
-                            got += np.bincount(own[k : k + SCORED], net.log_probabilities(c[k : k + SCORED], t[k : k + SCORED]), len(waiting))
-                        sums[waiting] = got
-                        waiting, size = [], 0
-                n = [len(x) for x in ids]
+                texts = part.column(1).to_pylist()
+                n, sums = [], []
+                for run_of in batches_of(texts):
+                    ids, counts = tool.ids(texts[run_of])
+                    wide, at = padded(ids, counts)
+                    own = np.repeat(np.arange(len(counts)), counts)
+                    got = np.zeros(len(counts))
+                    for i in range(0, len(at), SCORED):
+                        p = at[i : i + SCORED]
+                        got += np.bincount(own[i : i + SCORED], net.log_probabilities(contexts_of(wide, p), wide[p]), len(counts))
+                    n += counts.tolist()
+                    sums += got.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / m if m else None for s, m in zip(sums.tolist(), n, strict=True)], pa.float64())],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / m if m else None for s, m in zip(sums, n, strict=True)], pa.float64())],
                     names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"],
                 )
 

@@ -102,6 +102,19 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
 
 
+def words_and_endings_of(texts: list[str | None], size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words_and_endings`` of many texts one after the other, and how many words each text has."""
+    raw = [(text or "").encode("utf-8", "surrogatepass") for text in texts]
+    if len(raw) == 1 or sum(map(len, raw)) > 2 * PART:
+        found = [words_and_endings(text, size) for text in texts]
+        return *(np.concatenate(x) for x in zip(*found, strict=True)), np.array([len(h) for h, _ in found])
+    codes = np.frombuffer(b" ".join(raw), np.uint8)
+    h, starts, ends = split_words(codes)
+    edges = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    endings = mix(range_hashes(_BYTES[codes], np.maximum(starts, ends - size), ends)) if len(h) else h
+    return h, endings, np.diff(np.searchsorted(starts, edges))
+
+
 def shingle_hashes(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     """One hash for each window of ``width`` words, in order; of a shorter text, one for all of it."""
     n = len(hashes)

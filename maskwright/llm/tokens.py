@@ -149,6 +149,17 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, rows)
 
 
+def batches_of(texts: list[str | None], most: int = 1 << 20) -> list[slice]:
+    """Runs of texts of about ``most`` characters together; a longer text is a run of its own."""
+    out, start, size = [], 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > most:
+            out.append(slice(start, i))
+            start, size = i, 0
+        size += len(text or "")
+    return [*out, slice(start, len(texts))] if texts else []
+
+
 def count_tokens(df: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """``df`` (all its columns; one named ``out_col`` gives way) with the token count of each text."""
     kept = [c for c in df.columns if c != out_col]
