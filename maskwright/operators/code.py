@@ -608,11 +608,21 @@ def choose_domain(s: dict[str, int], preferred: str | None = None) -> str:
 
 @dataclass
 class Disguise:
+    """``mapping`` is original to new names; ``strings`` and ``comments`` are new to original texts."""
+
     output: str
     domain: str
     mapping: dict[str, str]
     valid: bool
     reason: str | None
+    strings: dict[str, str] = field(default_factory=dict)
+    comments: dict[str, str] = field(default_factory=dict)
+
+    def restore(self, text: str) -> str:
+        """Comments first, then strings, then names; what the disguise doesn't know stays."""
+        for made, original in sorted([*self.comments.items(), *self.strings.items()], key=lambda x: -len(x[0])):
+            text = text.replace(made, original)
+        return restore(text, {new: old for old, new in self.mapping.items()})
 
 
 def disguise(source: str, preferred: str | None = None) -> Disguise:
@@ -643,23 +653,32 @@ def disguise(source: str, preferred: str | None = None) -> Disguise:
                     break
         return mapping[name]
 
-    edits = []
+    edits: list[tuple[int, int, str]] = []
+    strings: dict[str, str] = {}
+    comments: dict[str, str] = {}
     renamed = {d.name: d.kind for d in found.declarations} | {m: "member" for m in members}
     for i, t in enumerate(code):
         if t.kind == "name" and t.text in renamed and t.text not in KEYWORDS:
             edits.append((t.start, t.end, named(t.text, renamed[t.text])))
         elif t.kind == "string":
-            content = t.text[1:-1]
-            if i and code[i - 1].text in ("from", "import", "require") and content.startswith("."):
-                edits.append((t.start, t.end, f"{t.text[0]}./{named(content, 'module')}{t.text[0]}"))
+            content, q = t.text[1:-1], t.text[0]
+            if i and code[i - 1].text in ("from", "import") and content.startswith("."):
+                made = f"{q}./{nouns[len(strings) % len(nouns)]}Module{len(strings) + 1}{q}"
             elif _prose(content):
-                edits.append((t.start, t.end, t.text[0] + "the " + " ".join(nouns[:2]) + " note " + str(len(edits)) + t.text[0]))
+                made = f"{q}the {nouns[0]} and {nouns[1]} note {len(strings) + 1}{q}"
+            else:
+                continue
+            strings[made] = t.text
+            edits.append((t.start, t.end, made))
     for k, t in enumerate(t for t in tokens if t.kind == "comment"):
-        phrase = f"keeps the {nouns[k % len(nouns)]} in step"
-        edits.append((t.start, t.end, f"// {phrase}" if t.text.startswith("//") else f"/* {phrase}" + "\n" * t.text.count("\n") + " */"))
+        phrase = f"keeps {nouns[k % len(nouns)]} {k + 1} in step"
+        made = f"// {phrase}" if t.text.startswith("//") else f"/* {phrase}" + "\n" * t.text.count("\n") + " */"
+        comments[made] = t.text
+        edits.append((t.start, t.end, made))
     output = _splice(source, edits)
     other = {n for d, ns in DOMAINS.items() if d != domain for n in ns}
-    words = forbidden_tokens(output)
+    left = scan(output) or []
+    words = {t.text for t in left if t.kind == "name"}
     after = shape(output)
     reason = (
         "does not scan" if after is None
@@ -668,7 +687,7 @@ def disguise(source: str, preferred: str | None = None) -> Disguise:
         else "shape changed" if any(own[k] != after[k] for k in COMPARED)
         else None
     )
-    return Disguise(output, domain, mapping, reason is None, reason)
+    return Disguise(output, domain, mapping, reason is None, reason, strings, comments)
 
 
 def obfuscate_files(df: DataFrame, session: str, path: str, source: str, style: str = "compact", max_lines: int = 5000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import audit, code, dashboard, evaluate, mapping, messages, numbering, pii, rehydrate, sync
+from ..operators import audit, code, dashboard, evaluate, mapping, messages, numbering, pii, rehydrate, requests, sync
 from ..streaming import frames as S
 from . import tables as T
 
@@ -401,6 +401,15 @@ def msg_blocks(spark, sf):
     return rows.select("conv_id", F.col("msg").cast("long").alias("msg"), F.col("block").cast("long").alias("block"), "role", "type")
 
 
+@query("SELECT conv_id::VARCHAR AS session, 0::BIGINT AS number, true AS is_json, count(*) FILTER (role <> 'system')::BIGINT AS n_blocks FROM conversations GROUP BY conv_id")
+def request_transform(spark, sf):
+    """Whole bodies transformed, one session each; their shape stays."""
+    b = T.bodies(spark, sf).select(F.col("conv_id").cast("string").alias("session"), F.lit(0).cast("long").alias("number"), "body")
+    out = requests.transform_bodies(b, "session", "number")
+    kinds = F.regexp_count("output", F.lit('"type":"tool_(?:use|result)"'))
+    return out.select("session", "number", F.try_parse_json("output").isNotNull().alias("is_json"), kinds.cast("long").alias("n_blocks"))
+
+
 # ---- evaluation
 
 _JUDGED_SQL = "(SELECT conv_id, turn, text || ' ' || CASE conv_id % 6 WHEN 0 THEN 'This looks auto-generated.' WHEN 1 THEN 'Weird naming and a placeholder.' WHEN 2 THEN 'Comments were STRIPPED comments here' WHEN 3 THEN 'A mixed vocabulary, inconsistently used' ELSE 'fine' END AS text FROM conversations)"

@@ -126,13 +126,13 @@ class FrameProcessor(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "frame": out})
+        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "frame": out}, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         tool = self._tool()
         out = tool.flush()
         self.held.clear()
-        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "frame": out})
+        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "frame": out}, dtype=object)
 
     def close(self) -> None:
         pass
@@ -184,7 +184,7 @@ class MappingProcessor(StatefulProcessor):
                 held["of"][name][1] = now
                 out.append((name, held["of"][name][0]))
         self.names.update((json.dumps(held),))
-        yield pd.DataFrame({"session": [key[0]] * len(out), "name": [x for x, _ in out], "number": [n for _, n in out]})
+        yield pd.DataFrame({"session": [key[0]] * len(out), "name": [x for x, _ in out], "number": [n for _, n in out]}, dtype=object)
 
     def close(self) -> None:
         pass

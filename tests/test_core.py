@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -281,3 +282,75 @@ def test_settings():
 def test_patterns_compile():
     for p in (*P.ENTITY_PATTERNS.values(), P.CAPITALIZED, P.PATH_FILE, P.PATH_DIR):
         re.compile(P.java(p))
+
+
+def test_disguise_restores():
+    d = code.disguise(SOURCE)
+    assert d.valid, d.reason
+    assert d.restore(d.output) == SOURCE
+    assert not {"feeOf", "fee", "rate", "total"} & {t.text for t in code.scan(d.output)}
+
+
+def test_bodies_of_a_session(spark):
+    from maskwright.operators import requests as R
+
+    numbered = "\n".join(f"{i + 1:6}\t{x}" for i, x in enumerate(SOURCE.split("\n")))
+    use = lambda i, name, args: {"role": "assistant", "content": [{"type": "tool_use", "id": i, "name": name, "input": args}]}
+    bodies = [
+        json.dumps({"messages": [use("a", "Write", {"file_path": "x.ts", "content": SOURCE}), use("b", "Bash", {"command": "grep feeOf x.ts"}), {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "b", "content": "feeOf found"}]}]}),
+        json.dumps({"messages": [use("c", "Read", {"file_path": "x.ts"}), {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "c", "content": numbered}]}]}),
+        "no json", None, '{"messages":[1,{"content":[{"type":"tool_use","name":5,"input":null}]}]}',
+    ]
+    df = spark.createDataFrame([("s", i, b) for i, b in enumerate(bodies)], "session string, number long, body string")
+    got = {r["number"]: r for r in R.transform_bodies(df, "session", "number").collect()}
+    first = json.loads(got[0]["output"])["messages"]
+    assert "feeOf" not in got[0]["output"] and first[1]["content"][0]["input"]["command"].startswith("grep func_1")
+    assert got[0]["labels"][0]["label"] == "x.ts" and got[0]["comments"] == 1 and got[0]["mapping"]["feeOf"] == "func_1"
+    text = json.loads(got[1]["output"])["messages"][1]["content"][0]["content"]
+    assert "func_1" in text and all(re.match(r"\s*\d+\t", x) for x in text.split("\n"))
+    assert got[2]["output"] == "no json" and got[3]["output"] is None and got[4]["error"] is None
+    coherent = {r["number"]: r for r in R.transform_bodies(df, "session", "number", mode="coherent").collect()}
+    assert coherent[2]["error"] == "not json" and "feeOf" not in coherent[0]["output"].replace("grep feeOf", "").replace("feeOf found", "")
+
+
+def until(spark, q, table, rows, seconds=90):
+    """Waits for rows: with timers by the clock a query never runs out of batches."""
+    end = time.time() + seconds
+    while time.time() < end and spark.table(table).count() < rows:
+        time.sleep(0.5)
+    q.stop()
+
+
+def test_streams_with_state(spark, tmp_path):
+    pytest.importorskip("google.protobuf")  # the state server's messages
+    rows = [(str(k), i, "data: " + json.dumps({"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": t}})) for k in range(2) for i, t in enumerate(["say v", "1 now", " and v1 again, at some length"])]
+    rows += [(str(k), 9, 'data: {"type":"content_block_stop","index":0}') for k in range(2)]
+    frames = spark.createDataFrame(rows, "stream_id string, seq long, frame string")
+    frames.write.parquet(f"{tmp_path}/f")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(frames.schema).parquet(f"{tmp_path}/f")
+    q = S.restore_stream(stream, {"v1": "Maria"}).writeStream.format("memory").queryName("restored").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
+    until(spark, q, "restored", 4)
+
+    def said(found):
+        out = {}
+        for r in found:
+            if "content_block_delta" in r["frame"]:
+                out[r["stream_id"]] = out.get(r["stream_id"], "") + json.loads(r["frame"].split("data: ")[1])["delta"]["text"]
+        return out
+
+    want = said(S.restore_frames(frames, "stream_id", "seq", "frame", {"v1": "Maria"}).collect())
+    assert said(spark.table("restored").collect()) == want == {k: "say Maria now and Maria again, at some length" for k in "01"}
+
+
+def test_session_names_stream(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    rows = [("s", i, n) for i, n in enumerate(["a", "b", "a", "c", "a"])]
+    names = spark.createDataFrame(rows, "session string, seq long, name string")
+    names.coalesce(1).write.parquet(f"{tmp_path}/n")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(names.schema).parquet(f"{tmp_path}/n")
+    q = S.mapping_stream(stream, capacity=2).writeStream.format("memory").queryName("numbered").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
+    until(spark, q, "numbered", 5)
+    # the oldest inserted goes when the third name comes, so "a" is numbered anew
+    assert [(r["name"], r["number"]) for r in spark.table("numbered").collect()] == [("a", 1), ("b", 2), ("a", 1), ("c", 3), ("a", 4)]
