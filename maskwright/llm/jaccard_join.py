@@ -10,19 +10,18 @@ n - ceil(t * n) + k and m - ceil(t * m) + k shingles have at least k in common.
 * heavy sets put that prefix for k = 1 into inverted lists and are met there by all sets of a
   size that can link with theirs, light ones too.
 
-The boundary is the one of least estimated cost, from the sizes of all sets and the measured load
-of the lists. Lists are streamed in sorted order; no list is ever gathered. Every candidate is
-verified on whole sets. A list gives a star first (its smallest set against the others), and
-components of the verified links; then only pairs of one list that lie in different components are
-left, and all of those are verified, so no link between components is lost and a group of near
+The boundary is the one of least estimated cost, from the sizes of all sets and the exact load of
+the lists. Lists are streamed in sorted order; no list is ever gathered. A candidate must pass an
+upper bound of its overlap, from bitmaps of both sets, and is then verified on whole sets. In rounds, each set is held against the few sets
+that head most of its lists, and links join components; then only pairs of one list that lie in different components are left, and all of those are verified, so no link between components is lost and a group of near
 copies never becomes all its pairs.
 
 The frequent shingles' table is bounded by ``HOT_MOST``; which shingles it holds changes the order
 (any order is right) and so the cost, never the result.
 
 Defined results: null, empty and all-space texts have the empty set, link with nothing and are
-their own component. Texts of fewer than five words have one shingle, the whole sequence. Repeated
-rows and copies are one set: each input row gives one row. A null id counts in no minimum; a
+their own component. Texts of fewer than five words have one shingle, the whole sequence. Repeated rows
+and copies are one set: each input row gives one row. A null id counts in no minimum; a
 component of null ids alone has a null id. An empty table gives an empty result. Extra columns are
 ignored.
 """
@@ -34,11 +33,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_staged, read_table, staged
+from .shared import KeyFilter, drop_staged, read_table, staged
 from .shingles import mix, set_key, shingle_set
 from .tokens import slices
 
@@ -47,10 +47,12 @@ THRESHOLD = (75, 100)
 MOST_LIGHT = 256
 #: A shingle in so many sets (as far as chunks have seen it more than once) is frequent; so many are kept.
 HOT_LEAST, HOT_MOST = 6, 200_000
+#: Rounds of stars, and heads that a set is held against in each.
+ROUNDS, STARS = 3, 8
+#: Lists looked back at, so that sets with many lists in common don't make a pair in each.
+BEFORE = 6
 #: Shingles counted at once by a worker.
 CHUNK = 4_000_000
-#: Bits of the filter that tells which sets a verification needs; a fixed size, misses cost only time.
-FILTER_BITS = 1 << 25
 
 _PAIR_DOMAIN = np.uint64(0xD1B54A32D192ED03)
 
@@ -78,52 +80,73 @@ def choose_boundary(sizes: dict[int, int], load: float, t: tuple[int, int] = THR
 
 def _survey(docs: DataFrame, t: tuple[int, int]) -> DataFrame:
     """One pass over all texts. kind 0: shingle and how often a chunk has it; 1: set size and sets;
-    2: entries of prefixes and other entries they meet in their chunk; 3: a document and its set."""
+    2: entries of prefixes; 3: a document, its set, a hash
+    of its text and, where the partition has the set for the first time, the set's sketch."""
 
     def run(batches):
         seen: set[int] = set()
         held: list[np.ndarray] = []
         sizes: dict[int, int] = {}
-        firsts: list[np.ndarray] = []
-        waiting = 0
+        entries = waiting = 0
 
         def chunk():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             hot = counts >= 3
-            entries = np.concatenate(firsts)
-            met = counts[np.searchsorted(values, entries)] - 1
-            kinds = [0] * int(hot.sum()) + [2]
-            keys = np.append(values[hot].view(np.int64), len(entries))
-            ns = np.append(counts[hot], int(met.sum()))
-            held.clear(), firsts.clear()
-            return _rows(kinds, keys, ns, [None] * len(kinds))
+            held.clear()
+            return _rows([0] * int(hot.sum()), values[hot].view(np.int64), counts[hot])
 
         for batch in batches:
             for part in slices(batch):
-                keys, ns = [], []
+                keys, ns, texts, sketches = [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text)
                     ns.append(len(s))
                     keys.append(set_key(s) if len(s) else None)
+                    texts.append(text_key(text))
+                    sketches.append(None)
                     if len(s) and keys[-1] not in seen:
                         seen.add(keys[-1])
+                        sketches[-1] = sketch(s)
                         sizes[min(len(s), MOST_LIGHT * 2)] = sizes.get(min(len(s), MOST_LIGHT * 2), 0) + 1
                         held.append(s)
-                        firsts.append(s[: prefix(len(s), 1, t)])
+                        entries += prefix(len(s), 1, t)
                         waiting += len(s)
                         if waiting >= CHUNK:
                             yield chunk()
                             waiting = 0
-                yield pa.RecordBatch.from_arrays([pa.array([3] * len(ns), pa.int32()), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), part.column(0)], names=["kind", "key", "n", "doc_id"])
+                yield _rows([3] * len(ns), keys, ns, part.column(0), texts, sketches, part.column(2))
         if held:
             yield chunk()
-        yield _rows([1] * len(sizes), list(sizes), list(sizes.values()), [None] * len(sizes))
+        yield _rows([1] * len(sizes) + [2], [*sizes, entries], [*sizes.values(), 0])
 
-    return docs.mapInArrow(run, "kind int, key long, n long, doc_id long")
+    return docs.mapInArrow(run, "kind int, key long, n long, doc_id long, text_key long, sketch binary, row_key long")
 
 
-def _rows(kinds, keys, ns, ids) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64())], names=["kind", "key", "n", "doc_id"])
+def _rows(kinds, keys, ns, ids=None, texts=None, sketches=None, rows=None) -> pa.RecordBatch:
+    none = [None] * len(kinds)
+    columns = zip((kinds, keys, ns, none if ids is None else ids, texts or none, sketches or none, none if rows is None else rows), (pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64()), strict=True)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in columns], names=["kind", "key", "n", "doc_id", "text_key", "sketch", "row_key"])
+
+
+def text_key(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bitmap of the set with about four bits for each shingle."""
+    m = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    bits = np.zeros(m, bool)
+    bits[(shingles & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def overlap_bound(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """At least as many as two sets share: common bits, and shingles beyond the first of a bit."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    m = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, m), axis=0) for v in (a, b))
+    count = lambda v: int(np.bitwise_count(v).sum())
+    return count(a & b) + min(nx - count(a), ny - count(b))
 
 
 def ordered(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -135,17 +158,39 @@ def ordered(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([shingles[~last], shingles[last]])
 
 
-def signatures(shingles: np.ndarray, hot: np.ndarray, boundary: int, t: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """Keys of the lists and subsets under which a set is looked up."""
+def signatures(shingles: np.ndarray, hot: np.ndarray, boundary: int, t: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lists and subsets under which a set is looked up, and the shingle's place in the
+    set's order (for subsets, one less than the later shingle's: one shared shingle lies before it)."""
     n = len(shingles)
     row = ordered(shingles, hot)
-    out = []
+    out, at = [], []
     if n * t[1] >= boundary * t[0]:
         out.append(row[: prefix(n, 1, t)])
+        at.append(np.arange(len(out[-1])))
     if 2 <= n < boundary:
         pairs = np.array(list(combinations(row[: prefix(n, 2, t)].tolist(), 2)), np.uint64)
         out.append(mix(mix(pairs[:, 0]) * _PAIR_DOMAIN + pairs[:, 1]))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        at.append(np.array([j - 1 for _, j in combinations(range(prefix(n, 2, t)), 2)], np.int64))
+    return (np.concatenate(out), np.concatenate(at)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def _entries(docs: DataFrame, hot: np.ndarray, t: tuple[int, int]) -> DataFrame:
+    """(key): the shingles of all prefixes, one row for each entry that a list would have."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for part in slices(batch):
+                found = []
+                for text in part.column(1).to_pylist():
+                    s = shingle_set(text)
+                    if len(s) and (key := set_key(s)) not in seen:
+                        seen.add(key)
+                        found.append(signatures(s, hot, 0, t)[0])
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
+
+    return docs.mapInArrow(run, "key long")
 
 
 def _postings(docs: DataFrame, hot: np.ndarray, boundary: int, t: tuple[int, int]) -> DataFrame:
@@ -158,24 +203,33 @@ def _postings(docs: DataFrame, hot: np.ndarray, boundary: int, t: tuple[int, int
                     s = shingle_set(text)
                     if len(s) and (key := set_key(s)) not in seen:
                         seen.add(key)
-                        found.append(signatures(s, hot, boundary, t))
-                        keys.append(np.full(len(found[-1]), key, np.int64))
-                        sizes.append(np.full(len(found[-1]), len(s), np.int32))
+                        tokens, at = signatures(s, hot, boundary, t)
+                        found.append(tokens)
+                        keys.append(np.full(len(tokens), key, np.int64))
+                        sizes.append(at + (len(s) << 32))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "size_place"])
+
+    return docs.mapInArrow(run, "token long, key long, size_place long")
 
-    return docs.mapInArrow(run, "token long, key long, n int")
+
+def _may_link(x: str, y: str, t: tuple[int, int]) -> str:
+    """SQL that is false if the sizes of two entries rule a link out, or their list can't be the first
+    that both sets share: from it on, too few shingles are left in one of them."""
+    return (
+        f"least({x}.n, {y}.n) * {t[1]} >= greatest({x}.n, {y}.n) * {t[0]}"
+        f" AND {sum(t)} * least({x}.n - {x}.place, {y}.n - {y}.place) >= {t[0]} * ({x}.n + {y}.n)"
+    )
 
 
-def _lists(postings: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Entries of lists with at least two sets, each with its star's centre: the smallest set of the
-    list that it can link with by size. Sorted rows are streamed; memory is one entry."""
+def _lists(postings: DataFrame) -> DataFrame:
+    """Entries of lists with at least two sets: token, key, size n and place. Sorted rows are
+    streamed; memory is one entry."""
 
     def run(batches):
-        token = key = n = None
-        centre, centre_n, alone = None, None, True
+        token = key = head = None
         for batch in batches:
-            toks, keys, ns = (batch.column(i).to_numpy() for i in range(3))
+            toks, keys, sizes = (batch.column(i).to_numpy() for i in range(3))
             fresh = np.ones(len(toks), bool)
             fresh[1:] = toks[1:] != toks[:-1]
             lone = fresh.copy()
@@ -183,49 +237,38 @@ def _lists(postings: DataFrame, t: tuple[int, int]) -> DataFrame:
             lone[0] &= token is None or toks[0] != token
             lone[-1] = False  # its list may go on in the next batch
             out = []
-            for i in np.flatnonzero(~lone).tolist():
-                tok, k, m = int(toks[i]), int(keys[i]), int(ns[i])
+            at = np.flatnonzero(~lone)
+            for tok, k, n, place in zip(toks[at].tolist(), keys[at].tolist(), (sizes[at] >> 32).tolist(), (sizes[at] & 0xFFFFFFFF).tolist(), strict=True):
                 if tok != token:
-                    token, centre, centre_n, alone = tok, k, m, True
+                    token, head = tok, (tok, k, n, place)
                 elif k != key:
-                    if alone:
-                        out.append((tok, centre, centre_n, centre))
-                        alone = False
-                    if centre_n * t[1] < m * t[0]:
-                        centre, centre_n = k, m
-                    out.append((tok, k, m, centre))
+                    if head:
+                        out.append(head)
+                        head = None
+                    out.append((tok, k, n, place))
                 key = k
             if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["token", "key", "n", "centre"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["token", "key", "n", "place"])
 
-    return postings.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "token long, key long, n int, centre long")
+    return postings.repartition("token").sortWithinPartitions("token", "size_place", "key").mapInArrow(run, "token long, key long, n int, place int")
 
 
-def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles) of the named sets. A bitmap of fixed size keeps most others from the shuffle."""
-    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
-    words = keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    have = {r["bucket"]: bytes(r["bits"]) for r in words}  # at most FILTER_BITS / 8 bytes
-    first, size = min(have, default=0), 8 * len(next(iter(have.values()), b"\0" * 4096))
-    flags = np.zeros((FILTER_BITS // size + 2, size // 8), np.uint8)
-    for bucket, bits in have.items():
-        flags[bucket] = np.frombuffer(bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+def _sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, shingles) of the sets named by ``texts(key, text_key)``, one text for each. A bitmap of
+    fixed size over hashes of texts keeps the other texts from being cut at all."""
+    wanted = KeyFilter(texts, "text_key")
 
     def run(batches):
-        marks, seen = shared.value, set()
+        test, seen = wanted.tester(), set()
         for batch in batches:
-            for part in slices(batch, 128):
+            for part in slices(batch):
+                every = part.column(1).to_pylist()
+                hit = test(np.array([text_key(x) for x in every], np.int64))
                 found, names = [], []
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text)
-                    if not len(s) or (key := set_key(s)) in seen:
-                        continue
-                    b = key % FILTER_BITS
-                    # Spark's buckets count from 1; bit 0 of a bucket is position 0
-                    bucket, at = (1 + (b - 1) // size, (b - 1) % size) if b > 0 else (-b // size, -b % size)
-                    if marks[bucket, at // 8] >> (at % 8) & 1:
+                for k in np.flatnonzero(hit).tolist():
+                    s = shingle_set(every[k])
+                    if len(s) and (key := set_key(s)) not in seen:
                         seen.add(key)
                         names.append(key)
                         found.append(s.view(np.int64))
@@ -233,68 +276,168 @@ def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     ends = np.cumsum([0, *map(len, found)])
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], names=["key", "shingles"])
 
-    return docs.mapInArrow(run, "key long, shingles array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return docs.mapInArrow(run, "key long, shingles array<long>").join(texts.select("key"), "key", "left_semi").dropDuplicates(["key"])
+
 
+def _possible(pairs: DataFrame, survey: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link, as (left, right)."""
+    sketches = survey.filter("kind = 3 AND sketch IS NOT NULL").select("key", "n", "sketch").dropDuplicates(["key"])
+    one = sketches.toDF("a", "na", "x")
+    two = sketches.toDF("b", "nb", "y")
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that link, by whole sets."""
-    one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2048):
+                na, x, nb, y = (part.column(i).to_pylist() for i in range(2, 6))
+                keep = [t[1] * (o := overlap_bound(x[i], na[i], y[i], nb[i])) >= t[0] * (na[i] + nb[i] - o) for i in range(part.num_rows)]
+                found = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], names=["left", "right"])
+
+    wide = pairs.join(two, "b").join(one, "a").select("a", "b", "na", "x", "nb", "y")
+    return wide.mapInArrow(run, "left long, right long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, survey: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that link, by whole sets; staged."""
+    pairs = staged(_possible(pairs, survey, t), "possible")
+    keys = pairs.select(F.col("left").alias("key")).union(pairs.select("right")).distinct()
+    texts = staged(survey.filter("kind = 3").join(keys, "key", "left_semi").groupBy("key").agg(F.min("text_key").alias("text_key")), "texts")
+    sets = staged(_sets(docs, texts), "sets")
+    x, y = (sets.toDF(side, c) for side, c in (("left", "x"), ("right", "y")))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(two, "b").join(one, "a").filter(F.lit(t[1]) * both >= F.lit(t[0]) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    linked = F.lit(t[1]) * both >= F.lit(t[0]) * (F.size("x") + F.size("y") - both)
+    out = staged(pairs.join(y, "right").join(x, "left").filter(linked).select(F.col("left").alias("a"), F.col("right").alias("b")), "verified")
+    drop_staged(pairs, texts, sets)
+    return out
+
+
+def _stars(live: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of each set with the ``STARS`` heads that it shares most lists with. The head of a
+    list is its set of least hash: the same for all lists at first, so that groups gather, and then
+    one of each list's own, another in each round."""
+    x, y = live.alias("x"), live.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(k), *(["token"] if k else [])), "comp", "key", "n", "place")).alias("h")).select("token", "h.*").alias("y")
+    shared = x.join(y, F.expr(f"x.token = y.token AND x.comp <> y.comp AND {_may_link('x', 'y', t)}")).groupBy(F.col("x.key").alias("key"), F.col("y.key").alias("head")).count()
+    # a set has no more heads than entries, so its list is bounded by its own prefix
+    best = shared.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "head")), False), 1, STARS).alias("best"))
+    pairs = best.select("key", F.explode("best.head").alias("head"))
+    return pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+
+
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, comp) after more links; only components that links join are worked on."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    if comps is None:
+        comps = nodes.select("node", F.col("node").alias("comp"))
+    else:
+        comps = comps.unionByName(nodes.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    comps = staged(comps, "comps")
+    a, b = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    joined = links.join(a, "a").join(b, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    higher = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
+    out = staged(comps.join(higher, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp")), "comps")
+    drop_staged(comps)
+    return out
+
+
+def _live(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Entries, with components, of lists that hold more than one component; staged."""
+    if comps is None:
+        return staged(lists.withColumn("comp", F.col("key")), "live")
+    where = lists.join(comps.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "place", F.coalesce("comp", "key").alias("comp"))
+    mixed = where.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    return staged(where.join(mixed, "token", "left_semi"), "live")
+
+
+def _apart(live: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """All pairs (a, b) of sets of one list and different components that may link.
+
+    The places of two linked sets' first shared shingles are bounded, so that both prefixes hold the
+    first ``K`` of them: with n - ceil(t n) + 1 shingles in a prefix and an overlap o, the k-th shared
+    one stands at n - o + k at the latest. Hence the sets meet in K lists; a bitmap of each set's
+    lists bounds how many they have in common. A pair is left to an earlier list where both sets come
+    from one of their last ``BEFORE`` lists together; in the first list that they share they can't,
+    so each pair comes out there at least.
+    """
+    word = F.pmod(F.shiftright("token", 6), F.lit(4))
+    marks = [F.bit_or(F.when(word == j, F.expr("shiftleft(1L, cast(pmod(token, 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(4)]
+    maps = live.groupBy("key").agg(*marks, F.count(F.lit(1)).alias("lists"))
+    maps = maps.withColumn("spare", F.col("lists") - sum((F.bit_count(f"w{j}") for j in range(1, 4)), F.bit_count("w0")))
+    own = Window.partitionBy("key").orderBy("place", "token")
+    entries = live.withColumn("before", F.array(*[F.lag("token", i).over(own) for i in range(1, BEFORE + 1)])).join(maps, "key")
+    up = lambda part, whole: f"(({part}) + {whole} - 1) div {whole}"
+    k = f"1 - {up(f'{t[0]} * greatest(x.n, y.n)', t[1])} + {up(f'{t[0]} * (x.n + y.n)', sum(t))}"
+    common = " + ".join(f"bit_count(x.w{j} & y.w{j})" for j in range(4)) + " + least(x.spare, y.spare)"
+    apart = F.expr(f"x.token = y.token AND x.comp < y.comp AND {_may_link('x', 'y', t)} AND {common} >= {k} AND NOT coalesce(arrays_overlap(x.before, y.before), false)")
+    pairs = entries.alias("x").join(entries.alias("y"), apart)
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def _frequent(counts: DataFrame) -> np.ndarray:
+    """The HOT_MOST most frequent of (key, c), ascending."""
+    top = counts.filter(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "key").limit(HOT_MOST)
+    return np.sort(np.array([r["key"] for r in top.collect()], np.int64).view(np.uint64))
 
 
 def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, set_key, component_id, boundary) for each row of ``df``."""
+    """(doc_id, n_shingles, set_key, component_id, boundary, row_key, stays) for each row of ``df``.
+
+    ``row_key`` is xxhash64 of id and text; ``stays`` is true for one row key of each component, that
+    of the least id (null ids last), and for all rows without words.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = staged(_survey(docs, t), "survey", "kind")
+    survey = staged(_survey(docs.withColumn("row_key", F.xxhash64("doc_id", "text")), t), "survey", "kind")
     sizes = {r["key"]: r["c"] for r in survey.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).collect()}
-    entries, met = survey.filter("kind = 2").agg(F.coalesce(F.sum("key"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    entries = survey.filter("kind = 2").agg(F.coalesce(F.sum("key"), F.lit(0))).first()[0]
+    # frequent shingles: as chunks saw them, then by the exact length of their lists
+    seen = survey.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c"))
+    counts = _entries(docs, _frequent(seen), t).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    exact = staged(counts.filter("c > 1"), "exact")
+    hot = _frequent(seen.unionByName(exact).groupBy("key").agg(F.max("c").alias("c")))
+    # what a list's entry will meet on average, once the frequent shingles are last
+    met = exact.filter(F.col("c") < HOT_LEAST).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1)), F.lit(0))).first()[0]
     boundary = choose_boundary(sizes, met / max(1, entries), t)
-    top = survey.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "key").limit(HOT_MOST)
-    hot = np.sort(np.array([r["key"] for r in top.collect()], np.int64).view(np.uint64))
-
-    lists = staged(_lists(_postings(docs, hot, boundary, t), t), "lists")
-    sets = staged(_sets(docs, lists.select("key").distinct()), "sets")
-    stars = lists.filter("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
-    links = staged(_verified(stars, sets, t), "verified")
-    comps = components(links)
-    links = [links]
-    # what is left: pairs of one list that no chain of links joins yet
-    where = lists.join(comps.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", F.coalesce("comp", "key").alias("comp"))
-    mixed = where.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = staged(where.join(mixed, "token", "left_semi"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = (
-        x.join(y, F.expr(f"x.token = y.token AND x.comp < y.comp AND x.n * {t[1]} >= y.n * {t[0]} AND y.n * {t[1]} >= x.n * {t[0]}"))
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    links.append(staged(_verified(pairs, sets, t), "verified"))
-    comps = components(links[0].unionByName(links[1]))
+    drop_staged(exact)
+    lists = staged(_lists(_postings(docs, hot, boundary, t)), "lists")
+
+    tested = comps = None
+    for k in range(ROUNDS):
+        live = _live(lists, comps)
+        stars = _stars(live, k, t)
+        stars = staged(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        links = _verified(docs, stars, survey, t)
+        tested = stars if tested is None else tested.unionByName(stars)
+        drop_staged(live)
+        if not links.limit(1).count():
+            break
+        comps = _merged(comps, links)
+    # what is left: all pairs of one list that no chain of links joins yet
+    live = _live(lists, comps)
+    pairs = _apart(live, t)
+    last = _verified(docs, pairs.join(tested, ["a", "b"], "left_anti"), survey, t)
+    comps = _merged(comps, last)
 
     classed = (
-        survey.filter("kind = 3").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"))
+        survey.filter("kind = 3").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"), "row_key")
         .join(comps.withColumnRenamed("node", "set_key"), "set_key", "left")
         .withColumn("comp", F.coalesce("comp", "set_key"))
     )
-    least = classed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    drop_staged(rest, lists, sets)
-    return classed.join(least, "comp", "left").select(
-        "doc_id", "n_shingles", "set_key", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.lit(boundary).alias("boundary")
+    least = classed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    drop_staged(live, lists)
+    return classed.join(least, "comp", "left").select(
+        "doc_id", "n_shingles", "set_key", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.lit(boundary).alias("boundary"),
+        "row_key", (F.col("comp").isNull() | (F.col("row_key") == F.col("first.row_key"))).alias("stays"),
     )
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the document of least id, all columns kept.
-
-    Of rows with one and the same least id, one stays. Rows without an id or without words link by
-    their id alone and all stay.
-    """
-    found = linked(df, id_col, text_col, t).filter("doc_id = component_id").select(F.col("doc_id").alias("__j_id")).distinct()
-    return df.join(found, F.col(id_col).cast("long") == F.col("__j_id"), "left_semi")
+    """The rows of ``df`` that stay, all columns kept: of each component the document of least id
+    (null ids last), and every row without words. Rows that repeat id and text are one document: of
+    those with words, one stays."""
+    found = linked(df, id_col, text_col, t).filter("stays").groupBy("row_key").agg(F.max("n_shingles").alias("__j_n")).withColumnRenamed("row_key", "__j_key")
+    kept = df.withColumn("__j_key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).join(found.hint("shuffle_merge"), "__j_key")
+    again = Window.partitionBy("__j_key").orderBy(F.lit(0))
+    kept = kept.withColumn("__j_place", F.row_number().over(again)).filter("__j_place = 1 OR __j_n = 0")
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
