@@ -7,6 +7,7 @@ again as the next stage's docs. All but the last return the columns of documents
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maskwright.llm.decontamination import clean_documents
 from maskwright.llm.jaccard_join import one_of_each
@@ -23,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier document has too. A text may become empty."""
-    return drop_lines(docs)
+    """All documents, without the lines that an earlier document has too. A text may become empty;
+    ``n_chars`` follows the text."""
+    return drop_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
