@@ -7,7 +7,7 @@ two steps, a group of tokens and then a member of the group, so a token costs th
 the vocabulary.
 
 What is gathered from the corpus grows with it: words are counted over all texts, and every
-partition trains on its own texts (each ``STRIDE``-th token of every document as a target, all their
+partition trains on its own texts (every token of every document is a target in each round, with its
 neighbours as context). After a round the partitions' weights are averaged by targets, in a tree of
 ``FAN_IN``, and go out again; a model has a fixed size of about 160 kB.
 
@@ -39,14 +39,15 @@ WORDS = VOCABULARY - ENDINGS
 SIDE = 2
 SLOTS = (-2, -1, 1, 2)
 EMBEDDED, HIDDEN = 12, 24
-STRIDE = 64
+#: Every token is a target in each round.
+STRIDE = 1
 ROUNDS = 2
 BATCH = 256
 RATE = 0.08
 FAN_IN = 256
 #: Words that a worker counts before it hands the counts on.
 COUNTED = 1_000_000
-#: Tokens scored at once.
+#: Tokens scored, or made ready for training, at once.
 SCORED = 1 << 15
 
 _SHAPES = {
@@ -61,6 +62,12 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=-1, keepdims=True))
+    z /= z.sum(axis=-1, keepdims=True)
+    return z
+
+
 @dataclass
 class Network:
     """The weights, in one flat array."""
@@ -86,38 +93,37 @@ class Network:
     def train(self, contexts: np.ndarray, targets: np.ndarray, memory: np.ndarray, rate: float = RATE) -> None:
         """One adaptive gradient step on the mean loss of a batch; ``memory`` has the shape of ``flat``."""
         n = len(targets)
-        held = Network(memory)
+        grad = Network(np.zeros_like(self.flat))
+        order = np.argsort(targets)  # a group's rows lie together
+        contexts, targets = contexts[order], targets[order]
         group, member = np.divmod(targets, MEMBERS)
-        e = self.embedding[contexts]  # n, slots, embedded
-        h = np.tanh(self.bias + np.einsum("nse,seh->nh", e, self.slots))
-        dg = np.exp(_log_softmax(h @ self.groups.T + self.group_bias))
-        dg[np.arange(n), group] -= 1
+        row = np.arange(n)
+        e = self.embedding[contexts].reshape(n, -1)  # slots side by side
+        slots = self.slots.reshape(-1, HIDDEN)
+        h = np.tanh(self.bias + e @ slots)
+        dg = _softmax(h @ self.groups.T + self.group_bias)
+        dg[row, group] -= 1
         m = self.members[group]
-        dm = np.exp(_log_softmax(np.einsum("nh,nmh->nm", h, m) + self.member_bias[group]))
-        dm[np.arange(n), member] -= 1
-        dz = (dg @ self.groups + np.einsum("nm,nmh->nh", dm, m)) * (1 - h * h)
-
-        def step(name: str, grad: np.ndarray, rows=None) -> None:
-            own, past = getattr(self, name), getattr(held, name)
-            if rows is None:
-                grad = grad / n
-                past += grad * grad
-                own -= rate * grad / np.sqrt(past + 1e-6)
-                return
-            order = np.argsort(rows, kind="stable")
-            keys, at = np.unique(rows[order], return_index=True)
-            total = np.add.reduceat(grad[order], at, axis=0) / n
-            past[keys] += total * total
-            own[keys] -= rate * total / np.sqrt(past[keys] + 1e-6)
-
-        de = np.einsum("nh,seh->nse", dz, self.slots)
-        step("slots", np.einsum("nse,nh->seh", e, dz))
-        step("bias", dz.sum(axis=0))
-        step("groups", dg.T @ h)
-        step("group_bias", dg.sum(axis=0))
-        step("members", dm[:, :, None] * h[:, None, :], group)
-        step("member_bias", dm, group)
-        step("embedding", de.reshape(-1, EMBEDDED), contexts.reshape(-1))
+        dm = _softmax(np.matmul(m, h[:, :, None])[:, :, 0] + self.member_bias[group])
+        dm[row, member] -= 1
+        dz = (dg @ self.groups + np.matmul(dm[:, None, :], m)[:, 0]) * (1 - h * h)
+        de = (dz @ slots.T).reshape(-1, EMBEDDED)
+        cells = (contexts.reshape(-1, 1) * EMBEDDED + np.arange(EMBEDDED)).reshape(-1)
+        grad.embedding[:] = np.bincount(cells, de.reshape(-1), self.embedding.size).reshape(self.embedding.shape)
+        grad.slots[:] = (e.T @ dz).reshape(self.slots.shape)
+        grad.bias[:] = dz.sum(axis=0)
+        grad.groups[:] = dg.T @ h
+        grad.group_bias[:] = dg.sum(axis=0)
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        grad.member_bias[group[starts]] = np.add.reduceat(dm, starts, axis=0)
+        for k, a, b in zip(group[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+            np.matmul(dm[a:b].T, h[a:b], out=grad.members[k])
+        g = grad.flat
+        g /= n
+        memory += g * g
+        g *= np.float32(rate)
+        g /= np.sqrt(memory + np.float32(1e-6))
+        self.flat -= g
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log P(target | both sides) of each row."""
@@ -168,6 +174,14 @@ def contexts_of(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
     return wide[at[:, None] + np.array(SLOTS)]
 
 
+def target_places(counts: np.ndarray, shift: np.ndarray, stride: int) -> np.ndarray:
+    """Which of the texts' ids, one text after the other, are targets: each ``stride``-th of every text,
+    from a place that lies inside the text."""
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = shift % np.maximum(np.minimum(stride, counts), 1)
+    return place % stride == np.repeat(first, counts)
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, bucket, n) over all texts, words by their hash; each worker counts before the shuffle."""
 
@@ -238,20 +252,19 @@ def _averaged(texts: DataFrame, known: np.ndarray, model: Network, stride: int,
                 for run_of in batches_of(texts):
                     ids, counts = tool.ids(texts[run_of])
                     wide, at = padded(ids, counts)
-                    # each document starts at another of its first ``stride`` tokens
-                    first = ((docs_seen + np.arange(len(counts))) * 7 + k * 13) % stride
+                    chosen = at[target_places(counts, (docs_seen + np.arange(len(counts))) * 7 + k * 13, stride)]
                     docs_seen += len(counts)
-                    place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-                    chosen = at[place % stride == np.repeat(first, counts)]
-                    held.append((contexts_of(wide, chosen), wide[chosen]))
-                    waiting += len(chosen)
-                    if waiting >= BATCH:
-                        c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-                        whole = waiting // BATCH * BATCH
-                        for i in range(0, whole, BATCH):
-                            own.train(c[i : i + BATCH], t[i : i + BATCH], memory)
-                        seen += whole
-                        held, waiting = [(c[whole:], t[whole:])], waiting - whole
+                    for i in range(0, len(chosen), SCORED):
+                        places = chosen[i : i + SCORED]
+                        held.append((contexts_of(wide, places), wide[places]))
+                        waiting += len(places)
+                        if waiting >= BATCH:
+                            c, t = (np.concatenate(x) for x in zip(*held, strict=True))
+                            whole = waiting // BATCH * BATCH
+                            for j in range(0, whole, BATCH):
+                                own.train(c[j : j + BATCH], t[j : j + BATCH], memory)
+                            seen += whole
+                            held, waiting = [(c[whole:], t[whole:])], waiting - whole
         if waiting:
             c, t = (np.concatenate(x) for x in zip(*held, strict=True))
             own.train(c, t, memory)

@@ -391,6 +391,23 @@ def test_pseudo_likelihood_beats_frequencies(spark, docs):
     assert len(known) == min(M.WORDS, len(known))
 
 
+def test_every_token_trains(spark, monkeypatch):
+    # texts of two words: a stride longer than a text used to give most of them no target
+    rows = [(i, f"alone{i} alone{i}") for i in range(20)] + [(99, None), (98, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    seen = []
+    mean = M._mean
+    monkeypatch.setattr(M, "_mean", lambda found: seen.append(sum(r["n"] for r in found)) or mean(found))
+    M.train(df)
+    assert seen == [40] * M.ROUNDS
+    counts = np.array([3, 0, 1, 200])
+    for k in range(5):
+        shift = np.arange(4) * 7 + k * 13
+        assert M.target_places(counts, shift, M.STRIDE).all()
+        own = np.repeat(np.arange(4), counts)[M.target_places(counts, shift, 64)]
+        assert set(own.tolist()) == {0, 2, 3}
+
+
 def test_pseudo_likelihood_odd_rows(spark, odd):
     got = M.score(odd, *M.train(odd)).collect()
     assert len(got) == len(ODD)
