@@ -2,7 +2,8 @@
 
 A small network predicts every token of a text from the ``SIDE`` tokens on either side of it; the sum
 of the conditional log-probabilities is the text's score. Tokens are words with A-Z in lower case:
-the corpus's most frequent ones, and buckets of endings for all others. The output is normalised in
+the corpus's most frequent ones, and buckets of endings for all others; a word in a bucket adds its
+log-probability there, by the counts of all words (``score_words``). The output is normalised in
 two steps, a group of tokens and then a member of the group, so a token costs the square root of
 the vocabulary.
 
@@ -152,13 +153,17 @@ class Tokens:
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
+        return self.ids_and_words(texts)[:2]
+
+    def ids_and_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the words' hashes."""
         hashes, endings, counts = words_and_endings_of(texts)
         out = (endings % np.uint64(ENDINGS)).astype(np.int64) + WORDS
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
             known = self.sorted[at] == hashes
             out[known] = self.order[at[known]]
-        return out, counts
+        return out, counts, hashes
 
 
 def padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,9 +216,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word", "bucket").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words (ties by hash) and the count of every token of the model."""
-    counts = staged(word_counts(docs, text_col), "word-counts")
+def vocabulary(docs: DataFrame, text_col: str = "text", words: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words (ties by hash) and the count of every token of the model.
+    ``words`` are the staged word counts, if there are any."""
+    counts = staged(word_counts(docs, text_col), "word-counts") if words is None else words
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     totals = np.zeros(VOCABULARY)
     totals[: len(top)] = [r["n"] for r in top]
@@ -221,13 +227,14 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.
         totals[WORDS + r["bucket"]] = r["n"]
     for r in top:
         totals[WORDS + r["bucket"]] -= r["n"]
-    drop_staged(counts)
+    if words is None:
+        drop_staged(counts)
     return np.array([r["word"] for r in top], np.int64).view(np.uint64), totals
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, words: DataFrame | None = None) -> tuple[np.ndarray, Network]:
     """Count, then let all partitions train and average, ``rounds`` times."""
-    known, counts = vocabulary(docs, text_col)
+    known, counts = vocabulary(docs, text_col, words)
     model = Network.started(counts)
     texts = docs.select(F.col(text_col).alias("text"))
     for k in range(rounds):
@@ -326,7 +333,58 @@ def score(docs: DataFrame, known: np.ndarray, model: Network, id_col: str = "doc
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double")
 
 
+def score_words(docs: DataFrame, known: np.ndarray, model: Network, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``score``, but a word outside the model's own also counts with log P(word | its bucket).
+
+    With N words counted in the bucket, a word counted n times has n / (N + 1) of it; those that were
+    never counted share what is left. The counts stay a table of any size and are joined.
+    """
+    rest = words.filter(~F.col("word").isin(known.view(np.int64).tolist())) if len(known) else words
+    sizes = np.zeros(ENDINGS)
+    for r in rest.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # ENDINGS rows
+        sizes[r["bucket"]] = r["n"]
+    less = np.log(sizes + 1)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast((known, model.flat, less))  # fixed size
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        names, flat, less = shared.value
+        tool, net = Tokens(names), Network(flat)
+        key = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(1).to_pylist()
+                for run_of in batches_of(texts):
+                    ids, counts, hashes = tool.ids_and_words(texts[run_of])
+                    wide, at = padded(ids, counts)
+                    own = np.repeat(np.arange(len(counts)), counts)
+                    got = np.zeros(len(counts))
+                    for i in range(0, len(at), SCORED):
+                        p = at[i : i + SCORED]
+                        got += np.bincount(own[i : i + SCORED], net.log_probabilities(contexts_of(wide, p), wide[p]), len(counts))
+                    rare = ids >= WORDS
+                    got -= np.bincount(own[rare], less[ids[rare] - WORDS], len(counts))
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(own[rare], minlength=len(counts)))])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[rare].view(np.int64)))
+                    keys = key + np.arange(len(counts))
+                    key += len(counts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys, pa.int64()), part.column(0)[run_of], pa.array(counts, pa.int64()), pa.array(got), lists], names=["key", "doc_id", "n_tokens", "sum", "rare"]
+                    )
+
+    # rows get their keys once, as they are written
+    rows = staged(narrow.mapInArrow(run, "key long, doc_id long, n_tokens long, sum double, rare array<long>"), "scored")
+    # logarithms in fixed point, so sums don't depend on their order; a count of 1 adds nothing
+    logs = rest.filter("n > 1").select("word", F.round(F.log("n") * float(1 << 32)).cast("long").alias("bits"))
+    sums = rows.select("key", F.explode("rare").alias("word")).join(logs, "word").groupBy("key").agg(F.sum("bits").alias("bits"))
+    out = rows.drop("rare").join(sums, "key", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("bits", F.lit(0)) / float(1 << 32))
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))
+
+
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudo-likelihood of every document under a network trained on all documents."""
+    """Pseudo-likelihood of every document, word by word, under a network trained on all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, *train(docs))
+    words = staged(word_counts(docs), "word-counts")
+    return score_words(docs, *train(docs, words=words), words)

@@ -408,6 +408,22 @@ def test_every_token_trains(spark, monkeypatch):
         assert set(own.tolist()) == {0, 2, 3}
 
 
+def test_words_of_a_bucket_score_apart(spark, docs, texts, odd):
+    words = M.word_counts(docs).cache()
+    known, model = M.train(docs, stride=64, words=words)
+    plain = {r["doc_id"]: r for r in M.score(docs, known, model).collect()}
+    full = {r["doc_id"]: r for r in M.score_words(docs, known, model, words).collect()}
+    n = {r["word"]: (r["bucket"], r["n"]) for r in words.collect()}
+    own, sizes = set(known.view(np.int64).tolist()), collections.Counter()
+    for w, (b, k) in n.items():
+        sizes[b] += k * (w not in own)
+    assert set(full) == set(plain) == set(texts)
+    for d, t in texts.items():
+        want = sum(np.log(n[w][1] / (sizes[n[w][0]] + 1)) for w in word_hashes(t).view(np.int64).tolist() if w not in own)
+        assert full[d]["n_tokens"] == plain[d]["n_tokens"] and full[d]["log_likelihood"] == pytest.approx(plain[d]["log_likelihood"] + want, rel=1e-6, abs=1e-4)
+    assert M.score_words(odd, known, model, words).count() == len(ODD)
+
+
 def test_pseudo_likelihood_odd_rows(spark, odd):
     got = M.score(odd, *M.train(odd)).collect()
     assert len(got) == len(ODD)
