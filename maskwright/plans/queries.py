@@ -510,6 +510,12 @@ def text_functions(spark, sf):
     return p.select("page_id", X.escape_html(F.substring("html", 1, 300)).alias("escaped"), X.truncate(u).alias("label"), X.capitalize(u).alias("capital"), X.extension(u).alias("ext"), X.dirname(u).alias("folder"))
 
 
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+def html_escape(spark, sf):
+    """Whole pages escaped."""
+    return T.table(spark, sf, "pages", "page_id", "html").select("page_id", X.escape_html(F.col("html")).alias("escaped"))
+
+
 @query("""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<[^>]*>|<[^>]*$|[^<]+'), lambda p: CASE WHEN p[1] = '<' THEN p ELSE replace(replace(p, 'the', 'Candidate_Alpha'), 'and', 'Company_1') END), '') AS html FROM pages""")
 def html_text_rehydrate(spark, sf):
     """Tokens restored in text between tags, never inside one."""

@@ -42,3 +42,12 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
+
+
+def test_whole_pages_are_escaped(spark):
+    import html
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r["escaped"] for r in QUERIES["html_escape"](spark, SF).collect()}
+    assert any(len(v) > 300 for v in pages.values())
+    assert got == {k: html.escape(v).replace("&#x27;", "&#39;") for k, v in pages.items()}
