@@ -16,6 +16,10 @@ At similarity 0.75 two fingerprints differ in 11 bits on average with a deviatio
 of 22 loses about 2 windows in 10,000 at the very threshold and fewer above; neighbouring windows
 give the same passage more chances.
 
+A document shorter than an item is one window, all of it. It may differ from the item in size, so the
+least number of its shingles among the benchmark's follows from both sizes; beyond that it is
+compared with every item of that length exactly, at any distance.
+
 The benchmark goes out in blocks of ``BLOCK_BYTES`` of its text, so a worker never holds more than
 one block's tables. Documents are never shuffled.
 
@@ -129,8 +133,23 @@ class Detector:
             inside[hits + 1] = 1
             inside = np.cumsum(inside)
             for n, table in self.tables.items():
-                if min(n, SHINGLE) == width and n <= len(hashes):
+                if min(n, SHINGLE) != width:
+                    continue
+                if n <= len(hashes):
                     out += self._windows(s, inside, n, n - width + 1, table)
+                else:
+                    out += self._whole(s, int(inside[-1]), len(hashes), n - width + 1, table)
+        return out
+
+    def _whole(self, s, hits: int, n: int, wide: int, table: Tables) -> list:
+        """A text shorter than the items, against each of them; without the bound on hits none can be near."""
+        if hits < self.threshold / (1 + self.threshold) * (len(s) + wide) - 1e-9:
+            return []
+        mark = int(fingerprints(s, np.zeros(1, np.int64), len(s))[0])
+        bag, out = Counter(s.tolist()), []
+        for (item_id, other), own in zip(table.items, table.prints, strict=True):
+            if (sim := similarity(bag, other)) >= self.threshold:
+                out.append((item_id, 0, n, (own ^ mark).bit_count(), sim))
         return out
 
     def _windows(self, s, inside, n: int, wide: int, table: Tables) -> list:

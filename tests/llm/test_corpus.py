@@ -166,6 +166,19 @@ def test_decontamination_equals_brute_force(spark, texts):
     assert clean == set(texts) - {d for d, _ in want}
 
 
+def test_documents_shorter_than_items_equal_brute_force(spark):
+    items = {r["item_id"]: r["text"].encode().lower().split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    bag = lambda w: collections.Counter(zip(*[w[k:] for k in range(5)], strict=False))
+    texts = {100 * i + k: w[:-k] if k % 2 else w[k:] for i, w in items.items() for k in range(1, 12) if len(w) - k > 4}
+    want = {(d, i) for d, w in texts.items() for i, x in items.items() if len(w) < len(x) and (bag(w) & bag(x)).total() >= 0.75 * (bag(w) | bag(x)).total()}
+    docs = spark.createDataFrame([(d, b" ".join(w).decode()) for d, w in texts.items()], "doc_id long, text string")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    lengths = {i: len(w) for i, w in items.items()}
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect() if len(texts[r["doc_id"]]) < lengths[r["item_id"]]}
+    assert got == want and len(want) > len(items)
+    assert not {d for d, _ in want} & {r["doc_id"] for r in D.clean_documents(docs, bench).collect()}
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(5)
     table = D.Tables(D.RADIUS)
