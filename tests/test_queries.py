@@ -51,3 +51,14 @@ def test_whole_pages_are_escaped(spark):
     got = {r["page_id"]: r["escaped"] for r in QUERIES["html_escape"](spark, SF).collect()}
     assert any(len(v) > 300 for v in pages.values())
     assert got == {k: html.escape(v).replace("&#x27;", "&#39;") for k, v in pages.items()}
+
+
+def test_roundtrip_replaces_names_too(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from maskwright.operators import pii
+
+    made, real = [], pii.anonymize
+    monkeypatch.setattr(pii, "anonymize", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    assert all(r["is_same"] for r in QUERIES["pii_roundtrip"](spark, SF).collect())
+    assert "PERSON" in {r[0] for r in made[0][0].select(F.explode("spans.type")).distinct().collect()}
