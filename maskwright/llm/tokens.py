@@ -7,8 +7,8 @@ a set look-up, and only the rest is merged, each different one once, with a boun
 results.
 
 The cut is made by a regular expression whose Unicode tables are newer than the tokenizer
-library's. They agree on ``SAFE`` code points (a test goes through all of them); a text with any
-other code point is encoded in full by the library instead.
+library's. They agree on every assigned code point (a test goes through all of them); a text with a
+code point that is unassigned in Python's own tables is encoded in full by the library instead.
 
 Defined results: a null text is empty; an empty text has no tokens. Special strings inside texts
 are one token each, the library's default. Repeated rows, null ids and extra columns change
@@ -18,6 +18,7 @@ nothing. An empty table gives an empty result. Whole texts are encoded, however
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ from .shared import read_table
 
 #: Cuts of the vocabulary's pre-tokenizer (a fixed format of the vocabulary file).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Code points on which both Unicode tables agree.
-SAFE = r"[\x00-՗ -⁯₠-₿℀-⅏←-⏿─-➿　-ヿ一-鿿가-힣＀-ￜ\U0001F300-\U0001F64F]"
+#: Code points of the commonest scripts, all assigned: texts of these alone need no further look.
+COMMON = r"[\x00-ͷЀ-ԯ -⁤₠-⃀℀-↋←-␦①-⭳　-〿ぁ-ゖ゙-ヿ一-鿿가-힣！-ﾾ\U0001F300-\U0001F6D7]"
 #: Results of merges that a worker remembers.
 MEMORY = 400_000
 LIMIT = 512
@@ -53,6 +54,27 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> regex.Pattern:
+    """A search for code points without a category, on which Unicode tables of other years may differ."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]")
+
+
+_common = regex.compile(f"{COMMON}*+")
+
+
+def settled(text: str) -> bool:
+    """No code point of the text is unassigned."""
+    return text.isascii() or bool(_common.fullmatch(text)) or not unassigned().search(text)
+
+
 def _vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
@@ -65,11 +87,8 @@ class WholeTokenCounter:
     """Counts tokens of texts; make it once in a worker."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.library = library(path)
         self.cut = regex.compile(PRETOKEN)
-        self.safe = regex.compile(f"{SAFE}*+")
         words, special = _vocabulary(path)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.whole = self.prove(words)
@@ -83,7 +102,7 @@ class WholeTokenCounter:
                 s = raw.decode("utf-8")
             except UnicodeDecodeError:
                 continue  # part of a character: never a pre-token
-            if self.cut.findall(s) == [s] and self.safe.fullmatch(s):
+            if self.cut.findall(s) == [s] and settled(s):
                 found.append(s)
         encoded = self.library.encode_batch_fast(found, add_special_tokens=False)
         return frozenset(s for s, e in zip(found, encoded, strict=True) if len(e) == 1)
@@ -95,7 +114,7 @@ class WholeTokenCounter:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.safe.fullmatch(text):
+            if not settled(text):
                 unsafe.append(i)
                 continue
             parts = [text]
@@ -138,9 +157,25 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=PRETOKEN, mergeable_ranks=words, special_tokens=special)
 
 
+@lru_cache(maxsize=4)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def encode(text: str, path: str) -> np.ndarray:
-    """Ids of a text as unsigned 32-bit integers; special strings are tokens, as the library's default has it."""
-    return np.asarray(encoder(path).encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+    """Ids of a text as unsigned 32-bit integers; special strings are tokens, as the library's default has it.
+
+    The library itself encodes what the fast encoder can't: texts with unassigned code points, and
+    runs of about a million white-space characters, which end the stack of its cutter."""
+    if settled(text):
+        try:
+            return np.asarray(encoder(path).encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+        except ValueError as e:
+            if "stack" not in str(e):
+                raise
+    return np.asarray(library(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -259,13 +259,22 @@ def test_token_counts(spark, texts, odd, library):
     assert T.count_tokens(odd.limit(0), T.vocabulary_path()).count() == 0
 
 
-def test_both_token_engines_agree_on_safe_characters(library):
-    tool, safe = T.counter(T.vocabulary_path()), re.compile(T.SAFE)
-    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and safe.match(chr(c))]
+def test_both_token_engines_agree_on_all_code_points(library):
+    tool = T.counter(T.vocabulary_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [c for k, c in enumerate(points) if k < 0x20000 or k % 64 == 0]  # ideographs above are one run
     samples = [f"a{c}b 1{c}2 {c}{c}. {c} x" for c in points]
     want = [e.ids for e in library.encode_batch_fast(samples, add_special_tokens=False)]
     assert tool.counts(samples) == list(map(len, want))
-    assert all(T.encode(s, T.vocabulary_path()).tolist() == w for s, w in zip(samples[::7], want[::7], strict=True))
+    assert all(T.encode(s, T.vocabulary_path()).tolist() == w for s, w in zip(samples, want, strict=True))
+    common = re.compile(T.COMMON)
+    assert not any(T.unassigned().search(c) for c in points if common.match(c))
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t "])
+def test_a_million_spaces(library, run):
+    text = "a" + run * 1_000_000 + "b"
+    assert T.encode(text, T.vocabulary_path()).tolist() == ids_of(library, text)
 
 
 # ---- 4
