@@ -2,61 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import drop_staged, shared_root, staged
+
 #: A word is a run of bytes other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_roots: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor and the driver can see.
+__all__ = ["SPACE", "WORD", "KeyFilter", "drop_staged", "read_table", "salted_join", "shared_root", "staged"]
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-    folder of our own is made and set, once for each application.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="maskwright-")
-        spark.sparkContext.setCheckpointDir(_own_roots[app])
-    return _own_roots[app]
-
-
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: lineage ends, lost executors cost nothing.
-
-    The rows are written once as compressed Parquet; readers of the returned frame scan only
-    the columns they use.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
+#: Keys that hold over 1 / HOT_SHARE of all rows are hot, so there are fewer than HOT_SHARE of them;
+#: each is dealt over SALTS tasks.
+HOT_SHARE, SALTS = 2048, 32
 
 
-def drop_staged(*frames: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path is None:
-            continue
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def salted_join(rows: DataFrame, table: DataFrame, on: str, counts: DataFrame, *spread: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``on``. ``counts(on, n)`` says how many
+    rows each key has; a hot key's rows are dealt over tasks by the hash of their columns ``spread``."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.filter(F.col("n") * HOT_SHARE > F.lit(total)).select(on, F.lit(SALTS).alias("__salts")))  # < HOT_SHARE rows
+    dealt = rows.join(hot, on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), "__salts").cast("int"), F.lit(0))).drop("__salts")
+    copies = table.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(copies, [on, "__salt"]).drop("__salt")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

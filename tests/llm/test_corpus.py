@@ -499,8 +499,9 @@ def test_pages_odd_rows(spark):
 
 
 def masked(line):
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
-    return tuple("<*>" if re.search(r"[0-9@]|://", t) else t for t in WORD.findall(low))
+    low = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), line))
+    out = tuple("<*>" if re.search(r"[0-9@]|://", t) else t for t in low)
+    return tuple(low) if set(out) == {"<*>"} else out
 
 
 def test_lines_equal_brute_force(spark, texts):
@@ -512,8 +513,7 @@ def test_lines_equal_brute_force(spark, texts):
         for k, h in zip(x.place.tolist(), x.line.view(np.int64).tolist(), strict=True):
             m = masked(lines[k])
             assert hashes.setdefault(h, m) == m
-            if len(m) >= L.MIN_TOKENS:
-                owners[h].add(d)
+            owners[h].add(d)
     template, leaves = {}, collections.defaultdict(list)
     for h in sorted(owners):
         m = hashes[h]
@@ -548,7 +548,8 @@ def test_lines_equal_brute_force(spark, texts):
 def test_variable_fields_and_first_copy(spark):
     rows = [(i, f"Order {i} was sent to box {i * 7} on day {i}\nown line of document number {'abcdefgh'[i]} here\nok") for i in range(1, 6)]
     out = {r["doc_id"]: r["text"] for r in L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert "Order 1" in out[1] and not any("Order" in out[i] for i in range(2, 6)) and all(t.endswith("ok") for t in out.values())
+    assert "Order 1" in out[1] and not any("Order" in out[i] for i in range(2, 6))
+    assert [i for i, t in out.items() if t.endswith("ok")] == [1]  # short lines are lines like others
     every = {r["text"] for r in L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=False).collect()}
     assert not any("Order" in t for t in every)
 
@@ -561,6 +562,76 @@ def test_lines_odd_rows(spark, odd):
     assert {c: t for c, t in L.drop_lines(odd, counts=True).dtypes}["n_dropped"] == "bigint"
 
 
+def test_dropped_lines_of_odd_rows(spark):
+    """Repeated rows are one document, null ids come first, short lines and bare fields are lines too."""
+    rows = [(1, "x y z\nok\n77"), (1, "x y z\nok\n77"), (2, "own\nx y z\r\n78"), (None, "ok\nmine"), (None, "ok\nmine"), (3, "77\n 1 2 "), (4, "1 2"), (5, None), (6, "own")]
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", "x y z\n77")] * 2 + [("2", "own\n78"), ("None", "ok\nmine"), ("None", "ok\nmine"), ("3", " 1 2 "), ("4", ""), ("5", "None"), ("6", "")])
+
+
+def test_leaf_finds_what_all_templates_would():
+    rng = np.random.default_rng(6)
+    leaf, pool = L.Leaf(L.SIMILAR), []
+    for key in range(600):
+        row = rng.integers(1, 4, 12).astype(np.uint64) if key % 3 else pool[int(rng.integers(len(pool)))][2] if pool else np.ones(12, np.uint64)
+        row = np.where(rng.random(12) < 0.1, np.uint64(99), row)
+        same = [(int((r == row).sum()), -i) for i, (_, r, _) in enumerate(pool)]
+        best = max(same, default=(0, 0))
+        if best[0] >= L.places(12):
+            pool[-best[1]][1][pool[-best[1]][1] != row] = 0
+            want = pool[-best[1]][0]
+        else:
+            pool.append((key, row.copy(), row))
+            want = key
+        assert leaf.add(key, row) == want
+    assert 1 < len(pool) < 600
+
+
+def test_big_leaves_are_split(spark):
+    words = ["red", "green", "blue", "white"]
+    rows = [(i, "\n".join(f"the one line {words[i % 4]} {words[k % 4]} {chr(97 + k)} {chr(97 + i)} goes on and on here" for k in range(8))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = {tuple(x.split()) for _, t in rows for x in t.split("\n")}
+    text = lambda **o: {r["doc_id"]: r["text"] for r in L.drop_lines(df, **o).collect()}
+    # 96 lines in one leaf; by the fourth token 24 each, by the fifth 6
+    assert len(lines) == 96 and text(leaf_most=6) == text(depth=5) and text(leaf_most=24) == text(depth=4)
+
+
+def test_copies_are_left_to_the_join(spark):
+    """Copies keep what they alone share; a notice that other documents share goes from copies as well."""
+    own = lambda k: "\n".join(" ".join(f"{c}{chr(97 + k)}{w}" for w in ("ka", "lo", "mi", "nu")) for c in "abcdefgh")
+    notice = "all rights are reserved by us"
+    rows = [(1, own(1)), (2, own(1) + "\n" + notice), (3, own(1)), (4, own(4) + "\n" + notice), (5, own(5) + "\n" + notice), (6, own(6))]
+    got = {r["doc_id"]: r["text"] for r in L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), spare_copies=True).collect()}
+    assert got == {1: own(1), 2: own(1), 3: own(1), 4: own(4) + "\n" + notice, 5: own(5), 6: own(6)}
+
+
+def test_planted_lines_are_caught(spark, docs):
+    """Passages of over 50 words put into other documents go from all but one; nothing else changes by that."""
+    from pyspark.sql import Window
+
+    before = {r["doc_id"]: r["text"] for r in L.drop_lines(docs).collect()}
+    planted = [" ".join(f"plant{k}word{chr(97 + i % 26)}{chr(97 + i // 26)}".replace(str(k), "x" * (k + 1)) for i in range(55)) for k in range(3)]
+    ids = sorted(d for d, t in before.items() if t and len(t.split()) > 30)[5:65]
+    at = {d: planted[i % 3] for i, d in enumerate(ids)}
+    more = spark.createDataFrame(list(at.items()), "doc_id long, extra string")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    df = docs.join(more, "doc_id", "left").withColumn("k", first).withColumn("text", F.when(F.col("extra").isNotNull() & (F.col("k") == 1), F.concat_ws("\n", "text", "extra")).otherwise(F.col("text")))
+    after = {r["doc_id"]: r["text"] for r in L.drop_lines(df.select("doc_id", "text")).collect()}
+    left = [d for d in ids if at[d] in after[d]]
+    assert len(left) == 3 and {at[d] for d in left} == set(planted)
+    assert all(after[d].replace("\n" + at[d], "") == before[d] for d in ids) and all(after[d] == t for d, t in before.items() if d not in at)
+
+
+def test_hot_keys_join_whole(spark):
+    from maskwright.llm.shared import salted_join
+
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id < 5000 THEN 1 ELSE id END AS k")
+    table = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    out = salted_join(rows, table, "k", rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "id")
+    assert out.count() == 6000 and out.filter("v <> 2 * k").count() == 0 and set(out.columns) == {"k", "id", "v"}
+
+
 # ---- registry and pipeline
 
 
