@@ -14,7 +14,7 @@ from maskwright.llm.jaccard_join import one_of_each
 from maskwright.llm.line_dedup import drop_lines
 from maskwright.llm.packing import pack
 from maskwright.llm.quality import filter_documents
-from maskwright.llm.shared import read_table, staged
+from maskwright.llm.shared import WORD, drop_staged, read_table, staged
 from maskwright.llm.tokens import vocabulary_path
 
 
@@ -24,9 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier document has too. A text may become empty;
-    ``n_chars`` follows the text."""
-    return drop_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents without the lines that an earlier document has too; ``n_chars``, if there is one, follows
+    the text. Lines that only copies share stay, as do those of two documents alone: copies are the next
+    stage's case. Of a document whose words all lie in lines that others share nothing is left, and it goes."""
+    out = drop_lines(docs, spare_copies=True, min_docs=3).filter(F.col("text").rlike(WORD))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each written below the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"stage-{k}")
+        drop_staged(before)  # the packer's rows come from its own table of pieces
     return docs
