@@ -306,6 +306,19 @@ def test_cascade_order_changes_nothing(spark, docs):
     assert ranks == sorted(ranks, reverse=True)
 
 
+def test_rejected_rows_skip_later_rules(spark, docs):
+    """A later rule, and the features that it alone needs, aren't evaluated where an earlier one rejects."""
+    dear = Q.Rule("dear", "CASE WHEN {n_words} < 60 THEN raise_error('evaluated') ELSE false END")
+    first = Q.Rule("first", "{n_words} < 60")
+    assert 0 < Q.filter_documents(docs, order=[first, dear]).count() < docs.count()
+    with pytest.raises(Exception, match="evaluated"):
+        Q.filter_documents(docs, order=[dear, first]).count()
+    wide = Q.cascade(docs, [first, *Q.RULES]).cache()
+    skipped = wide.filter("__q_verdict = 'first'")
+    assert skipped.count() and not skipped.filter("__q_n_stutter IS NOT NULL OR __q_n_symbols IS NOT NULL").count()
+    wide.unpersist()
+
+
 def test_quality_runs_no_python(spark):
     plan = Q.op4_quality_rules(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
