@@ -496,6 +496,14 @@ PROSE = "This is a long paragraph of the article, with commas, full stops and so
         (f"<nav><a>Home</a></nav><div id=main><h2>Title</h2><p>{PROSE}</p></div><footer>f</footer>", f"Title\n\n{PROSE}"),
         (f"<article><header>by me</header><p>{PROSE}<p>Two&nbsp;&amp;&#33;<aside>no</aside></article><div class='user-comments'><p>{PROSE}</p></div>", f"{PROSE}\n\nTwo &!"),
         (f"<main><form><p>{PROSE}</p></form><p>Yes,\n it\tis.</p><div class=\"cookie-notice\">c</div></main>", "Yes, it is."),
+        (f"<div class=page><article><p>{PROSE}</p></article><article class=comment><p>{PROSE} {PROSE}</p></article></div>", PROSE),
+        (f"<form id=aspnetForm><nav>Home</nav><article><h1>T</h1><p>{PROSE}</p></article></form>", f"T\n\n{PROSE}"),
+        (f"<form><p>{PROSE}</p><p>Short.</p></form>", f"{PROSE}\n\nShort."),
+        (f"<div class='share-price-report'><p>{PROSE}</p></div><div class='share-buttons'>Tweet</div>", PROSE),
+        (f"<div class='siteHeader'>Brand</div><div class='post'><h2>T</h2><p>{PROSE}</p><div class='related-posts'><p>{PROSE}</p></div></div><div id='footer_links'>x</div>", f"T\n\n{PROSE}"),
+        (f"<div><a>Home</a><a>About</a></div><div><div><p>{PROSE}</p><p>{PROSE}</p><h3>Sub</h3><p>End.</p></div></div><div>Small print</div>", f"{PROSE}\n\n{PROSE}\n\nSub\n\nEnd."),
+        (f"<main><article><p>Teaser, one.</p></article><article><h1>T</h1><p>{PROSE}</p></article></main>", f"Teaser, one.\n\nT\n\n{PROSE}"),
+        (f"<div role=navigation><p>{PROSE}</p></div><section><p>{PROSE} Yes.</p></section><section class='reader-comments'><article><p>{PROSE}</p></article></section>", f"{PROSE} Yes."),
         ("<article><ul><li>x<li>y</ul><table><tr><td>a<td>b<tr><td>c</table></article>", "x\n\ny\n\na\n\nb\n\nc"),
     ],
 )
@@ -503,6 +511,29 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+def test_ratios_find_the_article_by_themselves(spark, monkeypatch):
+    """Recall and precision by page where nothing names the article, nor any menu, advert or footer."""
+    plain = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        text = H.main_text(r["html"])
+        plain[re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", r["html"]).replace(' class="ad"', "")] = text
+    monkeypatch.setattr(H, "BOILER", frozenset())
+    monkeypatch.setattr(H, "BOILER_WORDS", frozenset())
+    recall, precision = [], []
+    for page, text in plain.items():
+        want, got = collections.Counter(text.split()), collections.Counter(H.main_text(page).split())
+        recall.append((want & got).total() / max(1, want.total()))
+        precision.append((want & got).total() / max(1, got.total()))
+    assert np.mean(recall) > 0.97 and np.mean(precision) > 0.9
+    monkeypatch.setattr(H, "content_paths", lambda found: {b.path for b in found})
+    assert sum(H.main_text(page) == text for page, text in plain.items()) < sum(r == p == 1 for r, p in zip(recall, precision, strict=True))
+
+
+def test_many_nested_elements_take_linear_time():
+    page = "<div>" * 20_000 + "<p>text.</p>" * 2_000
+    assert H.main_text(page).count("text.") == 2_000
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a", "y"), (1, None, None, "x"), (2, "u", "<b>" * 30_000 + "deep", "z")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in H.extract(df).collect()) == [(0, "a", 1), (1, "", 0), (1, "", 0), (2, "deep", 4)]
