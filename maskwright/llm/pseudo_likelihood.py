@@ -8,9 +8,9 @@ two steps, a group of tokens and then a member of the group, so a token costs th
 the vocabulary.
 
 What is gathered from the corpus grows with it: words are counted over all texts, and every
-partition trains on its own texts (every token of every document is a target in each round, with its
-neighbours as context). After a round the partitions' weights are averaged by targets, in a tree of
-``FAN_IN``, and go out again; a model has a fixed size of about 160 kB.
+partition trains on its own texts: every token of every document is a target once a round, with its
+neighbours as context, in batches that grow with the targets seen. After a round the partitions' weights
+are averaged by targets, in a tree of ``FAN_IN``, and go out again; a model has a fixed size of about 160 kB.
 
 The weights depend on how the rows lie in partitions, as in any averaged training; for one layout
 they are the same in every run, so a lost executor's tasks give what they gave before.
@@ -40,33 +40,31 @@ WORDS = VOCABULARY - ENDINGS
 SIDE = 2
 SLOTS = (-2, -1, 1, 2)
 EMBEDDED, HIDDEN = 12, 24
-#: Every token is a target in each round.
-STRIDE = 1
-ROUNDS = 2
-BATCH = 256
+ROUNDS = 1
+#: Targets of the first step and of the largest; between them a step takes a sixteenth of those seen.
+BATCH, BATCH_MOST = 128, 2048
 RATE = 0.08
 FAN_IN = 256
+#: Counted words that go to every worker, at most; rarer ones are joined.
+TABLE = 1 << 20
 #: Words that a worker counts before it hands the counts on.
 COUNTED = 1_000_000
 #: Tokens scored, or made ready for training, at once.
 SCORED = 1 << 15
 
+#: The last row of each output layer is its bias.
 _SHAPES = {
-    "embedding": (VOCABULARY + 1, EMBEDDED), "slots": (len(SLOTS), EMBEDDED, HIDDEN), "bias": (HIDDEN,),
-    "groups": (GROUPS, HIDDEN), "group_bias": (GROUPS,), "members": (GROUPS, MEMBERS, HIDDEN), "member_bias": (GROUPS, MEMBERS),
+    "embedding": (VOCABULARY + 1, EMBEDDED), "slots": (len(SLOTS) * EMBEDDED, HIDDEN), "bias": (HIDDEN,),
+    "groups": (HIDDEN + 1, GROUPS), "members": (GROUPS, HIDDEN + 1, MEMBERS),
 }
 _SIZES = {k: int(np.prod(v)) for k, v in _SHAPES.items()}
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    z /= z.sum(axis=-1, keepdims=True)
-    return z
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row less the row's maximum, in place, and the sums of the rows."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z.sum(axis=1, keepdims=True)
 
 
 @dataclass
@@ -87,38 +85,47 @@ class Network:
         out = cls(np.random.default_rng(seed).normal(0, 0.1, sum(_SIZES.values())).astype(np.float32))
         c = (counts + 1.0).reshape(GROUPS, MEMBERS)
         out.bias[:] = 0
-        out.group_bias[:] = np.log(c.sum(axis=1) / c.sum())
-        out.member_bias[:] = np.log(c / c.sum(axis=1, keepdims=True))
+        out.groups[-1] = np.log(c.sum(axis=1) / c.sum())
+        out.members[:, -1] = np.log(c / c.sum(axis=1, keepdims=True))
         return out
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, memory: np.ndarray, rate: float = RATE) -> None:
         """One adaptive gradient step on the mean loss of a batch; ``memory`` has the shape of ``flat``."""
         n = len(targets)
         grad = Network(np.zeros_like(self.flat))
-        order = np.argsort(targets)  # a group's rows lie together
+        order = np.argsort(targets, kind="stable")  # a group's rows lie together
         contexts, targets = contexts[order], targets[order]
         group, member = np.divmod(targets, MEMBERS)
         row = np.arange(n)
-        e = self.embedding[contexts].reshape(n, -1)  # slots side by side
-        slots = self.slots.reshape(-1, HIDDEN)
-        h = np.tanh(self.bias + e @ slots)
-        dg = _softmax(h @ self.groups.T + self.group_bias)
+        e = np.take(self.embedding, contexts.reshape(-1), axis=0).reshape(n, -1)  # slots side by side
+        h = np.ones((n, HIDDEN + 1), np.float32)
+        np.tanh(e @ self.slots + self.bias, out=h[:, :HIDDEN])
+        dg, total = _exponentials(h @ self.groups)
+        dg /= total
         dg[row, group] -= 1
-        m = self.members[group]
-        dm = _softmax(np.matmul(m, h[:, :, None])[:, :, 0] + self.member_bias[group])
+        grad.groups[:] = h.T @ dg
+        dh = dg @ self.groups.T
+        ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        runs = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+        dm = np.empty((n, MEMBERS), np.float32)
+        for k, at in runs:
+            np.matmul(h[at], self.members[k], out=dm[at])
+        dm, total = _exponentials(dm)
+        dm /= total
         dm[row, member] -= 1
-        dz = (dg @ self.groups + np.matmul(dm[:, None, :], m)[:, 0]) * (1 - h * h)
-        de = (dz @ slots.T).reshape(-1, EMBEDDED)
-        cells = (contexts.reshape(-1, 1) * EMBEDDED + np.arange(EMBEDDED)).reshape(-1)
-        grad.embedding[:] = np.bincount(cells, de.reshape(-1), self.embedding.size).reshape(self.embedding.shape)
-        grad.slots[:] = (e.T @ dz).reshape(self.slots.shape)
+        for k, at in runs:
+            np.matmul(h[at].T, dm[at], out=grad.members[k])
+            dh[at] += dm[at] @ self.members[k].T
+        inner = h[:, :HIDDEN]
+        dz = dh[:, :HIDDEN] * (1 - inner * inner)
+        grad.slots[:] = e.T @ dz
         grad.bias[:] = dz.sum(axis=0)
-        grad.groups[:] = dg.T @ h
-        grad.group_bias[:] = dg.sum(axis=0)
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        grad.member_bias[group[starts]] = np.add.reduceat(dm, starts, axis=0)
-        for k, a, b in zip(group[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True):
-            np.matmul(dm[a:b].T, h[a:b], out=grad.members[k])
+        de = (dz @ self.slots.T).reshape(-1, EMBEDDED)
+        cells = contexts.reshape(-1)
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        starts = np.flatnonzero(np.diff(cells, prepend=-1))
+        grad.embedding[cells[starts]] = np.add.reduceat(np.take(de, order, axis=0), starts, axis=0)
         g = grad.flat
         g /= n
         memory += g * g
@@ -128,19 +135,26 @@ class Network:
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log P(target | both sides) of each row."""
-        tables = np.einsum("ve,seh->svh", self.embedding, self.slots)  # the first layer, looked up
-        z = self.bias + tables[0][contexts[:, 0]]
+        tables = np.einsum("ve,seh->svh", self.embedding, self.slots.reshape(len(SLOTS), EMBEDDED, HIDDEN))  # the first layer, looked up
+        order = np.argsort(targets, kind="stable")
+        contexts, targets = contexts[order], targets[order]
+        z = self.bias + np.take(tables[0], contexts[:, 0], axis=0)
         for s in range(1, len(SLOTS)):
-            z += tables[s][contexts[:, s]]
-        h = np.tanh(z)
+            z += np.take(tables[s], contexts[:, s], axis=0)
+        h = np.ones((len(targets), HIDDEN + 1), np.float32)
+        np.tanh(z, out=h[:, :HIDDEN])
         group, member = np.divmod(targets, MEMBERS)
-        out = _log_softmax(h @ self.groups.T + self.group_bias)[np.arange(len(targets)), group]
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            at = order[ends[g] : ends[g + 1]]
-            if len(at):
-                out[at] += _log_softmax(h[at] @ self.members[g].T + self.member_bias[g])[np.arange(len(at)), member[at]]
+        row = np.arange(len(targets))
+        p, total = _exponentials(h @ self.groups)
+        q = np.empty((len(targets), MEMBERS), np.float32)
+        ends = np.searchsorted(group, np.arange(GROUPS + 1))
+        for k in range(GROUPS):
+            at = slice(ends[k], ends[k + 1])
+            np.matmul(h[at], self.members[k], out=q[at])
+        q, inside = _exponentials(q)
+        tiny = np.float32(1e-38)  # a probability that float32 can't hold
+        out = np.empty(len(targets), np.float32)
+        out[order] = np.log(np.maximum(p[row, group], tiny)) - np.log(total[:, 0]) + np.log(np.maximum(q[row, member], tiny)) - np.log(inside[:, 0])
         return out
 
 
@@ -148,8 +162,8 @@ class Tokens:
     """Texts to ids. ``vocabulary`` holds hashes of words, most frequent first."""
 
     def __init__(self, vocabulary: np.ndarray):
-        self.order = np.argsort(vocabulary)
-        self.sorted = vocabulary[self.order]
+        self.order = np.argsort(vocabulary).astype(np.int16)
+        self.sorted = np.sort(vocabulary)
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
@@ -158,7 +172,7 @@ class Tokens:
     def ids_and_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same, and the words' hashes."""
         hashes, endings, counts = words_and_endings_of(texts)
-        out = (endings % np.uint64(ENDINGS)).astype(np.int64) + WORDS
+        out = (endings % np.uint64(ENDINGS)).astype(np.int16) + np.int16(WORDS)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
             known = self.sorted[at] == hashes
@@ -169,7 +183,7 @@ class Tokens:
 def padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids with ``SIDE`` tokens for an edge before and after every text, and each id's place there."""
     at = np.arange(len(ids)) + SIDE * (np.repeat(np.arange(len(counts)), counts) + 1)
-    wide = np.full(len(ids) + SIDE * (len(counts) + 1), VOCABULARY)
+    wide = np.full(len(ids) + SIDE * (len(counts) + 1), VOCABULARY, np.int16)
     wide[at] = ids
     return wide, at
 
@@ -179,14 +193,6 @@ def contexts_of(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
     return wide[at[:, None] + np.array(SLOTS)]
 
 
-def target_places(counts: np.ndarray, shift: np.ndarray, stride: int) -> np.ndarray:
-    """Which of the texts' ids, one text after the other, are targets: each ``stride``-th of every text,
-    from a place that lies inside the text."""
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    first = shift % np.maximum(np.minimum(stride, counts), 1)
-    return place % stride == np.repeat(first, counts)
-
-
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, bucket, n) over all texts, words by their hash; each worker counts before the shuffle."""
 
@@ -232,52 +238,69 @@ def vocabulary(docs: DataFrame, text_col: str = "text", words: DataFrame | None
     return np.array([r["word"] for r in top], np.int64).view(np.uint64), totals
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, words: DataFrame | None = None) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None) -> tuple[np.ndarray, Network]:
     """Count, then let all partitions train and average, ``rounds`` times."""
     known, counts = vocabulary(docs, text_col, words)
     model = Network.started(counts)
     texts = docs.select(F.col(text_col).alias("text"))
-    for k in range(rounds):
-        model = _averaged(texts, known, model, stride, k) or model
+    for _ in range(rounds):
+        model = _averaged(texts, known, model) or model
     return known, model
 
 
-def _averaged(texts: DataFrame, known: np.ndarray, model: Network, stride: int, k: int) -> Network | None:
+class Trainer:
+    """Trains one partition's copy of a model on contexts and targets as they come."""
+
+    def __init__(self, flat: np.ndarray):
+        self.own, self.memory = Network(flat.copy()), np.zeros_like(flat)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = self.seen = 0
+
+    def size(self) -> int:
+        return min(BATCH_MOST, max(BATCH, 1 << (self.seen // 16).bit_length()))
+
+    def add(self, contexts: np.ndarray, targets: np.ndarray) -> None:
+        self.held.append((contexts, targets))
+        self.waiting += len(targets)
+        if self.waiting >= self.size():
+            self._steps(last=False)
+
+    def finish(self) -> None:
+        """Train on what is still held."""
+        if self.waiting:
+            self._steps(last=True)
+
+    def _steps(self, last: bool) -> None:
+        c, t = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        at = 0
+        while len(t) - at >= self.size() or (last and at < len(t)):
+            step = slice(at, min(at + self.size(), len(t)))
+            self.own.train(c[step], t[step], self.memory)
+            self.seen += step.stop - at
+            at = step.stop
+        self.held, self.waiting = [(c[at:], t[at:])], len(t) - at
+
+
+def _averaged(texts: DataFrame, known: np.ndarray, model: Network) -> Network | None:
     shared = texts.sparkSession.sparkContext.broadcast((known, model.flat))  # fixed size
 
     def run(batches):
         from pyspark import TaskContext
 
         names, flat = shared.value
-        tool, own = Tokens(names), Network(flat.copy())
-        memory = np.zeros_like(flat)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = seen = docs_seen = 0
+        tool, trainer = Tokens(names), Trainer(flat)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(0).to_pylist()
                 for run_of in batches_of(texts):
                     ids, counts = tool.ids(texts[run_of])
                     wide, at = padded(ids, counts)
-                    chosen = at[target_places(counts, (docs_seen + np.arange(len(counts))) * 7 + k * 13, stride)]
-                    docs_seen += len(counts)
-                    for i in range(0, len(chosen), SCORED):
-                        places = chosen[i : i + SCORED]
-                        held.append((contexts_of(wide, places), wide[places]))
-                        waiting += len(places)
-                        if waiting >= BATCH:
-                            c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-                            whole = waiting // BATCH * BATCH
-                            for j in range(0, whole, BATCH):
-                                own.train(c[j : j + BATCH], t[j : j + BATCH], memory)
-                            seen += whole
-                            held, waiting = [(c[whole:], t[whole:])], waiting - whole
-        if waiting:
-            c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-            own.train(c, t, memory)
-            seen += len(t)
-        if seen:
-            yield _model_row(TaskContext.get().partitionId(), own.flat, seen)
+                    for i in range(0, len(at), SCORED):
+                        places = at[i : i + SCORED]
+                        trainer.add(contexts_of(wide, places), wide[places])
+        trainer.finish()
+        if trainer.seen:
+            yield _model_row(TaskContext.get().partitionId(), trainer.own.flat, trainer.seen)
 
     models = staged(texts.mapInArrow(run, "team long, flat binary, n long"), "models")
     while models.count() > FAN_IN:
@@ -333,24 +356,45 @@ def score(docs: DataFrame, known: np.ndarray, model: Network, id_col: str = "doc
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double")
 
 
+def common_words(rest: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes, ascending, and log counts of the most frequent of ``rest(word, n)``, ``TABLE`` at most, and the
+    count that all of them reach: words of at least this count are all here."""
+    step = F.floor(F.log2("n") * 16)  # counts in steps of a sixteenth of a doubling: about a thousand steps at most
+    sizes = {r["step"]: (r["rows"], r["least"]) for r in rest.filter("n > 1").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).collect()}
+    held, least = 0, 1 << 62
+    for k in sorted(sizes, reverse=True):
+        if (held := held + sizes[k][0]) > TABLE:
+            break
+        least = sizes[k][1]
+    else:
+        least = 2
+    found = rest.filter(F.col("n") >= least).select("word", "n").toArrow()  # TABLE rows at most
+    words, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(words)
+    return words[order], np.log(n[order]), least
+
+
 def score_words(docs: DataFrame, known: np.ndarray, model: Network, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``score``, but a word outside the model's own also counts with log P(word | its bucket).
 
     With N words counted in the bucket, a word counted n times has n / (N + 1) of it; those that were
-    never counted share what is left. The counts stay a table of any size and are joined.
+    never counted share what is left. The most frequent words go to every worker in a table of bounded
+    size; where that doesn't hold all words counted more than once, the others are joined, whatever
+    their number.
     """
     rest = words.filter(~F.col("word").isin(known.view(np.int64).tolist())) if len(known) else words
     sizes = np.zeros(ENDINGS)
     for r in rest.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # ENDINGS rows
         sizes[r["bucket"]] = r["n"]
-    less = np.log(sizes + 1)
+    common, logs, least = common_words(rest)
+    joined = least > 2
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((known, model.flat, less))  # fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((known, model.flat, np.log(sizes + 1), common, logs))  # bounded by TABLE
 
     def run(batches):
         from pyspark import TaskContext
 
-        names, flat, less = shared.value
+        names, flat, less, common, logs = shared.value
         tool, net = Tokens(names), Network(flat)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -364,22 +408,30 @@ def score_words(docs: DataFrame, known: np.ndarray, model: Network, words: DataF
                     for i in range(0, len(at), SCORED):
                         p = at[i : i + SCORED]
                         got += np.bincount(own[i : i + SCORED], net.log_probabilities(contexts_of(wide, p), wide[p]), len(counts))
-                    rare = ids >= WORDS
+                    rare = np.flatnonzero(ids >= WORDS)
                     got -= np.bincount(own[rare], less[ids[rare] - WORDS], len(counts))
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(own[rare], minlength=len(counts)))])
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[rare].view(np.int64)))
-                    keys = key + np.arange(len(counts))
-                    key += len(counts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.int64()), part.column(0)[run_of], pa.array(counts, pa.int64()), pa.array(got), lists], names=["key", "doc_id", "n_tokens", "sum", "rare"]
-                    )
-
-    # rows get their keys once, as they are written
-    rows = staged(narrow.mapInArrow(run, "key long, doc_id long, n_tokens long, sum double, rare array<long>"), "scored")
-    # logarithms in fixed point, so sums don't depend on their order; a count of 1 adds nothing
-    logs = rest.filter("n > 1").select("word", F.round(F.log("n") * float(1 << 32)).cast("long").alias("bits"))
-    sums = rows.select("key", F.explode("rare").alias("word")).join(logs, "word").groupBy("key").agg(F.sum("bits").alias("bits"))
-    out = rows.drop("rare").join(sums, "key", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("bits", F.lit(0)) / float(1 << 32))
+                    if len(common):
+                        place = np.minimum(np.searchsorted(common, hashes[rare]), len(common) - 1)
+                        held = common[place] == hashes[rare]
+                        got += np.bincount(own[rare[held]], logs[place[held]], len(counts))
+                        rare = rare[~held]
+                    columns = [part.column(0)[run_of], pa.array(counts, pa.int64()), pa.array(got)]
+                    if joined:
+                        ends = np.concatenate([[0], np.cumsum(np.bincount(own[rare], minlength=len(counts)))])
+                        columns += [pa.array(key + np.arange(len(counts))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[rare].view(np.int64)))]
+                        key += len(counts)
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "sum", "key", "rare"][: len(columns)])
+
+    schema = "doc_id long, n_tokens long, sum double"
+    if joined:
+        # rows get their keys once, as they are written
+        rows = staged(narrow.mapInArrow(run, f"{schema}, key long, rare array<long>"), "scored")
+        # logarithms in fixed point, so sums don't depend on their order; a count of 1 adds nothing
+        bits = rest.filter((F.col("n") > 1) & (F.col("n") < least)).select("word", F.round(F.log("n") * float(1 << 32)).cast("long").alias("bits"))
+        sums = rows.select("key", F.explode("rare").alias("word")).join(bits, "word").groupBy("key").agg(F.sum("bits").alias("bits"))
+        out = rows.drop("rare").join(sums, "key", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("bits", F.lit(0)) / float(1 << 32))
+    else:
+        out = narrow.mapInArrow(run, schema).withColumnRenamed("sum", "log_likelihood")
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))
 
 

@@ -421,7 +421,7 @@ def test_network_gradient_and_normalisation():
 def test_pseudo_likelihood_beats_frequencies(spark, docs):
     known, counts = M.vocabulary(docs)
     p = counts / counts.sum()
-    rows = M.score(docs, *M.train(docs, stride=4)).collect()
+    rows = M.score(docs, *M.train(docs)).collect()
     n = sum(r["n_tokens"] for r in rows)
     assert n == counts.sum() and sum(r["log_likelihood"] for r in rows) / n > (p[p > 0] * np.log(p[p > 0])).sum()
     assert len(known) == min(M.WORDS, len(known))
@@ -436,17 +436,47 @@ def test_every_token_trains(spark, monkeypatch):
     monkeypatch.setattr(M, "_mean", lambda found: seen.append(sum(r["n"] for r in found)) or mean(found))
     M.train(df)
     assert seen == [40] * M.ROUNDS
-    counts = np.array([3, 0, 1, 200])
-    for k in range(5):
-        shift = np.arange(4) * 7 + k * 13
-        assert M.target_places(counts, shift, M.STRIDE).all()
-        own = np.repeat(np.arange(4), counts)[M.target_places(counts, shift, 64)]
-        assert set(own.tolist()) == {0, 2, 3}
 
 
-def test_words_of_a_bucket_score_apart(spark, docs, texts, odd):
+def test_trainer_takes_every_target_once(monkeypatch):
+    rng, sizes = np.random.default_rng(1), []
+    monkeypatch.setattr(M.Network, "train", lambda self, c, t, m: sizes.append(len(t)))
+    trainer = M.Trainer(np.zeros(sum(M._SIZES.values()), np.float32))
+    total = 0
+    for n in (5, 0, 90_000, 3, 700):
+        trainer.add(rng.integers(0, 9, (n, 4)), rng.integers(0, 9, n))
+        total += n
+    trainer.finish()
+    assert sum(sizes) == trainer.seen == total and max(sizes) == M.BATCH_MOST and sizes[0] == M.BATCH
+
+
+def test_log_likelihood_equals_brute_force(spark, docs, texts):
+    """The shipped setting, token by token in plain Python: softmax over groups, over members, counts of words."""
+    words = M.word_counts(docs).cache()
+    known, net = M.train(docs, words=words)
+    got = {r["doc_id"]: r["log_likelihood"] for r in M.score_words(docs, known, net, words).collect()}
+    n = {r["word"]: (r["bucket"], r["n"]) for r in words.collect()}
+    place, sizes = {w: i for i, w in enumerate(known.view(np.int64).tolist())}, collections.Counter()
+    for w, (b, k) in n.items():
+        sizes[b] += k * (w not in place)
+    soft = lambda z, i: z[i] - np.log(np.exp(z - z.max()).sum()) - z.max()
+    for d in sorted(texts, key=lambda d: (len(texts[d] or ""), d))[:: len(texts) // 8]:
+        hashes = word_hashes(texts[d]).view(np.int64).tolist()
+        ids = [M.VOCABULARY] * M.SIDE + [place.get(w, M.WORDS + n[w][0]) for w in hashes] + [M.VOCABULARY] * M.SIDE
+        total = 0.0
+        for k, w in enumerate(hashes[:400]):
+            e = np.concatenate([net.embedding[ids[k + M.SIDE + s]] for s in M.SLOTS]).astype(float)
+            h = np.append(np.tanh(e @ net.slots + net.bias), 1.0)
+            g, m = divmod(ids[k + M.SIDE], M.MEMBERS)
+            total += soft(h @ net.groups, g) + soft(h @ net.members[g], m)
+            total += np.log(n[w][1] / (sizes[n[w][0]] + 1)) if w not in place else 0
+        if len(hashes) <= 400:
+            assert got[d] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_words_of_a_bucket_score_apart(spark, docs, texts, odd, monkeypatch):
     words = M.word_counts(docs).cache()
-    known, model = M.train(docs, stride=64, words=words)
+    known, model = M.train(docs, words=words)
     plain = {r["doc_id"]: r for r in M.score(docs, known, model).collect()}
     full = {r["doc_id"]: r for r in M.score_words(docs, known, model, words).collect()}
     n = {r["word"]: (r["bucket"], r["n"]) for r in words.collect()}
@@ -458,6 +488,11 @@ def test_words_of_a_bucket_score_apart(spark, docs, texts, odd):
         want = sum(np.log(n[w][1] / (sizes[n[w][0]] + 1)) for w in word_hashes(t).view(np.int64).tolist() if w not in own)
         assert full[d]["n_tokens"] == plain[d]["n_tokens"] and full[d]["log_likelihood"] == pytest.approx(plain[d]["log_likelihood"] + want, rel=1e-6, abs=1e-4)
     assert M.score_words(odd, known, model, words).count() == len(ODD)
+    # a table that holds few words: the others are joined, with the same sums
+    monkeypatch.setattr(M, "TABLE", 50)
+    joined = {r["doc_id"]: r for r in M.score_words(docs, known, model, words).collect()}
+    assert len(M.common_words(words)[0]) <= 50 and set(joined) == set(full)
+    assert all(joined[d]["log_likelihood"] == pytest.approx(r["log_likelihood"], rel=1e-9, abs=1e-6) for d, r in full.items())
 
 
 def test_pseudo_likelihood_odd_rows(spark, odd):
