@@ -33,12 +33,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import KeyFilter, drop_staged, read_table, staged
+from .shared import KeyFilter, drop_staged, read_table, salted_join, staged
 from .shingles import mix, set_key, shingle_set
 from .tokens import slices
 
@@ -79,9 +78,9 @@ def choose_boundary(sizes: dict[int, int], load: float, t: tuple[int, int] = THR
 
 
 def _survey(docs: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """One pass over all texts. kind 0: shingle and how often a chunk has it; 1: set size and sets;
-    2: entries of prefixes; 3: a document, its set, a hash
-    of its text and, where the partition has the set for the first time, the set's sketch."""
+    """The only pass over the texts. kind 0: shingle and how often a chunk has it; 1: set size and sets;
+    2: entries of prefixes; 3: a document, its set and, where the partition has the set for the first
+    time, the set's sketch and its shingles in ascending order."""
 
     def run(batches):
         seen: set[int] = set()
@@ -97,16 +96,16 @@ def _survey(docs: DataFrame, t: tuple[int, int]) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                keys, ns, texts, sketches = [], [], [], []
+                keys, ns, sketches, sets = [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text)
                     ns.append(len(s))
                     keys.append(set_key(s) if len(s) else None)
-                    texts.append(text_key(text))
                     sketches.append(None)
+                    sets.append(None)
                     if len(s) and keys[-1] not in seen:
                         seen.add(keys[-1])
-                        sketches[-1] = sketch(s)
+                        sketches[-1], sets[-1] = sketch(s), s.tobytes()
                         sizes[min(len(s), MOST_LIGHT * 2)] = sizes.get(min(len(s), MOST_LIGHT * 2), 0) + 1
                         held.append(s)
                         entries += prefix(len(s), 1, t)
@@ -114,22 +113,30 @@ def _survey(docs: DataFrame, t: tuple[int, int]) -> DataFrame:
                         if waiting >= CHUNK:
                             yield chunk()
                             waiting = 0
-                yield _rows([3] * len(ns), keys, ns, part.column(0), texts, sketches, part.column(2))
+                yield _rows([3] * len(ns), keys, ns, part.column(0), sketches, part.column(2), sets)
         if held:
             yield chunk()
         yield _rows([1] * len(sizes) + [2], [*sizes, entries], [*sizes.values(), 0])
 
-    return docs.mapInArrow(run, "kind int, key long, n long, doc_id long, text_key long, sketch binary, row_key long")
+    return docs.mapInArrow(run, "kind int, key long, n long, doc_id long, sketch binary, row_key long, shingles binary")
 
 
-def _rows(kinds, keys, ns, ids=None, texts=None, sketches=None, rows=None) -> pa.RecordBatch:
+def _rows(kinds, keys, ns, ids=None, sketches=None, rows=None, sets=None) -> pa.RecordBatch:
     none = [None] * len(kinds)
-    columns = zip((kinds, keys, ns, none if ids is None else ids, texts or none, sketches or none, none if rows is None else rows), (pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64()), strict=True)
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in columns], names=["kind", "key", "n", "doc_id", "text_key", "sketch", "row_key"])
+    columns = zip((kinds, keys, ns, *(none if c is None else c for c in (ids, sketches, rows, sets))), (pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.int64(), pa.binary()), strict=True)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in columns], names=["kind", "key", "n", "doc_id", "sketch", "row_key", "shingles"])
 
 
-def text_key(text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+def _sets_of(survey: DataFrame) -> DataFrame:
+    """(key, shingles) of all sets; a set that several partitions have comes once from each."""
+    return survey.filter("shingles IS NOT NULL").select("key", "shingles")
+
+
+def _each(batches):
+    """Keys and sets of the rows, in runs."""
+    for batch in batches:
+        for part in slices(batch):
+            yield part.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -174,43 +181,25 @@ def signatures(shingles: np.ndarray, hot: np.ndarray, boundary: int, t: tuple[in
     return (np.concatenate(out), np.concatenate(at)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def _entries(docs: DataFrame, hot: np.ndarray, t: tuple[int, int]) -> DataFrame:
+def _entries(survey: DataFrame, hot: np.ndarray, t: tuple[int, int]) -> DataFrame:
     """(key): the shingles of all prefixes, one row for each entry that a list would have."""
 
     def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch):
-                found = []
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text)
-                    if len(s) and (key := set_key(s)) not in seen:
-                        seen.add(key)
-                        found.append(signatures(s, hot, 0, t)[0])
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
+        for _, sets in _each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([signatures(s, hot, 0, t)[0] for s in sets]).view(np.int64))], names=["key"])
 
-    return docs.mapInArrow(run, "key long")
+    return _sets_of(survey).mapInArrow(run, "key long")
 
 
-def _postings(docs: DataFrame, hot: np.ndarray, boundary: int, t: tuple[int, int]) -> DataFrame:
+def _postings(survey: DataFrame, hot: np.ndarray, boundary: int, t: tuple[int, int]) -> DataFrame:
     def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch):
-                found, keys, sizes = [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text)
-                    if len(s) and (key := set_key(s)) not in seen:
-                        seen.add(key)
-                        tokens, at = signatures(s, hot, boundary, t)
-                        found.append(tokens)
-                        keys.append(np.full(len(tokens), key, np.int64))
-                        sizes.append(at + (len(s) << 32))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "size_place"])
+        for keys, sets in _each(batches):
+            found, places = zip(*(signatures(s, hot, boundary, t) for s in sets), strict=True)
+            lengths = [len(x) for x in found]
+            sizes = np.concatenate(places) + (np.repeat([len(s) for s in sets], lengths) << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(sizes)], names=["token", "key", "size_place"])
 
-    return docs.mapInArrow(run, "token long, key long, size_place long")
+    return _sets_of(survey).mapInArrow(run, "token long, key long, size_place long")
 
 
 def _may_link(x: str, y: str, t: tuple[int, int]) -> str:
@@ -254,29 +243,23 @@ def _lists(postings: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "size_place", "key").mapInArrow(run, "token long, key long, n int, place int")
 
 
-def _sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, shingles) of the sets named by ``texts(key, text_key)``, one text for each. A bitmap of
-    fixed size over hashes of texts keeps the other texts from being cut at all."""
-    wanted = KeyFilter(texts, "text_key")
+def _wanted(survey: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, shingles) of the sets named by ``keys``, once each. A bitmap of bounded size keeps the other
+    sets from the join's shuffle."""
+    wanted = KeyFilter(keys, "key")
 
     def run(batches):
         test, seen = wanted.tester(), set()
         for batch in batches:
             for part in slices(batch):
-                every = part.column(1).to_pylist()
-                hit = test(np.array([text_key(x) for x in every], np.int64))
-                found, names = [], []
-                for k in np.flatnonzero(hit).tolist():
-                    s = shingle_set(every[k])
-                    if len(s) and (key := set_key(s)) not in seen:
-                        seen.add(key)
-                        names.append(key)
-                        found.append(s.view(np.int64))
-                if found:
+                names = part.column(0).to_numpy()
+                at = [k for k in np.flatnonzero(test(names)).tolist() if names[k] not in seen and not seen.add(names[k])]
+                if at:
+                    found = [np.frombuffer(x, np.int64) for x in part.column(1).take(pa.array(at)).to_pylist()]
                     ends = np.cumsum([0, *map(len, found)])
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], names=["key", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], names=["key", "shingles"])
 
-    return docs.mapInArrow(run, "key long, shingles array<long>").join(texts.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return _sets_of(survey).mapInArrow(run, "key long, shingles array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def _possible(pairs: DataFrame, survey: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -297,17 +280,16 @@ def _possible(pairs: DataFrame, survey: DataFrame, t: tuple[int, int]) -> DataFr
     return wide.mapInArrow(run, "left long, right long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, survey: DataFrame, t: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, survey: DataFrame, t: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that link, by whole sets; staged."""
     pairs = staged(_possible(pairs, survey, t), "possible")
-    keys = pairs.select(F.col("left").alias("key")).union(pairs.select("right")).distinct()
-    texts = staged(survey.filter("kind = 3").join(keys, "key", "left_semi").groupBy("key").agg(F.min("text_key").alias("text_key")), "texts")
-    sets = staged(_sets(docs, texts), "sets")
+    keys = staged(pairs.select(F.col("left").alias("key")).union(pairs.select("right")).distinct(), "keys")
+    sets = staged(_wanted(survey, keys), "sets")
     x, y = (sets.toDF(side, c) for side, c in (("left", "x"), ("right", "y")))
     both = F.size(F.array_intersect("x", "y"))
     linked = F.lit(t[1]) * both >= F.lit(t[0]) * (F.size("x") + F.size("y") - both)
     out = staged(pairs.join(y, "right").join(x, "left").filter(linked).select(F.col("left").alias("a"), F.col("right").alias("b")), "verified")
-    drop_staged(pairs, texts, sets)
+    drop_staged(pairs, keys, sets)
     return out
 
 
@@ -315,8 +297,10 @@ def _stars(live: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of each set with the ``STARS`` heads that it shares most lists with. The head of a
     list is its set of least hash: the same for all lists at first, so that groups gather, and then
     one of each list's own, another in each round."""
-    x, y = live.alias("x"), live.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(k), *(["token"] if k else [])), "comp", "key", "n", "place")).alias("h")).select("token", "h.*").alias("y")
-    shared = x.join(y, F.expr(f"x.token = y.token AND x.comp <> y.comp AND {_may_link('x', 'y', t)}")).groupBy(F.col("x.key").alias("key"), F.col("y.key").alias("head")).count()
+    order = F.xxhash64("key", F.lit(k), *(["token"] if k else []))
+    heads = live.groupBy("token").agg(F.min(F.struct(order, "comp", "key", "n", "place")).alias("y"), F.count(F.lit(1)).alias("rows"))
+    both = salted_join(live, heads.select("token", "y"), "token", heads.select("token", F.col("rows").alias("n")), "key").selectExpr("struct(*) AS x", "y")
+    shared = both.filter(f"x.comp <> y.comp AND {_may_link('x', 'y', t)}").groupBy(F.col("x.key").alias("key"), F.col("y.key").alias("head")).count()
     # a set has no more heads than entries, so its list is bounded by its own prefix
     best = shared.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "head")), False), 1, STARS).alias("best"))
     pairs = best.select("key", F.explode("best.head").alias("head"))
@@ -385,26 +369,26 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: tup
     of the least id (null ids last), and for all rows without words.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = staged(_survey(docs.withColumn("row_key", F.xxhash64("doc_id", "text")), t), "survey", "kind")
+    survey = staged(_survey(docs.withColumn("row_key", F.xxhash64("doc_id", "text")), t), "survey")
     sizes = {r["key"]: r["c"] for r in survey.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).collect()}
     entries = survey.filter("kind = 2").agg(F.coalesce(F.sum("key"), F.lit(0))).first()[0]
     # frequent shingles: as chunks saw them, then by the exact length of their lists
     seen = survey.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c"))
-    counts = _entries(docs, _frequent(seen), t).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    counts = _entries(survey, _frequent(seen), t).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     exact = staged(counts.filter("c > 1"), "exact")
     hot = _frequent(seen.unionByName(exact).groupBy("key").agg(F.max("c").alias("c")))
     # what a list's entry will meet on average, once the frequent shingles are last
     met = exact.filter(F.col("c") < HOT_LEAST).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1)), F.lit(0))).first()[0]
     boundary = choose_boundary(sizes, met / max(1, entries), t)
     drop_staged(exact)
-    lists = staged(_lists(_postings(docs, hot, boundary, t)), "lists")
+    lists = staged(_lists(_postings(survey, hot, boundary, t)), "lists")
 
     tested = comps = None
     for k in range(ROUNDS):
         live = _live(lists, comps)
         stars = _stars(live, k, t)
         stars = staged(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
-        links = _verified(docs, stars, survey, t)
+        links = _verified(stars, survey, t)
         tested = stars if tested is None else tested.unionByName(stars)
         drop_staged(live)
         if not links.limit(1).count():
@@ -413,7 +397,7 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: tup
     # what is left: all pairs of one list that no chain of links joins yet
     live = _live(lists, comps)
     pairs = _apart(live, t)
-    last = _verified(docs, pairs.join(tested, ["a", "b"], "left_anti"), survey, t)
+    last = _verified(pairs.join(tested, ["a", "b"], "left_anti"), survey, t)
     comps = _merged(comps, last)
 
     classed = (

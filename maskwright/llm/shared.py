@@ -34,34 +34,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bits of a key filter: 4 MB, whatever the data.
-FILTER_BITS = 1 << 25
+#: Bits of a key filter for each key, and at least and at most in all (32 MB).
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 
 
 class KeyFilter:
-    """A bitmap of fixed size over 64-bit keys: says no only for keys that aren't there.
+    """A bitmap over 64-bit keys, sized by their number: says no only for keys that aren't there.
 
-    The bitmap is made by Spark's own bitmap aggregates and at most ``FILTER_BITS / 8`` bytes reach
-    the driver. It keeps rows from a shuffle before an exact join; more keys than bits cost time alone.
+    The bitmap is made by Spark's own bitmap aggregates and at most ``MOST_BITS / 8`` bytes reach
+    the driver. It keeps rows from a shuffle before an exact join; more keys than fit cost time alone.
     """
 
     def __init__(self, keys: DataFrame, column: str):
-        bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
-        rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-        self._shared = keys.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in rows})
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+        bit = F.pmod(F.col(column), F.lit(self.bits))
+        rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("flags")).toArrow()
+        held = dict(zip(rows["bucket"].to_pylist(), rows["flags"].to_pylist(), strict=True))
+        self._shared = keys.sparkSession.sparkContext.broadcast(held)
 
     def __reduce__(self):
-        return _filter_again, (self._shared,)
+        return _filter_again, (self.bits, self._shared)
 
     def tester(self):
         """A function of an array of signed 64-bit keys, for use in a worker."""
         size = 8 * 4096  # bits of a bucket of Spark's bitmap functions; buckets count from 1
-        flags = np.zeros((FILTER_BITS // size + 2, 4096), np.uint8)
+        flags = np.zeros((self.bits // size + 2, 4096), np.uint8)
         for k, bits in self._shared.value.items():
             flags[k] = np.frombuffer(bits, np.uint8)
 
         def test(keys: np.ndarray) -> np.ndarray:
-            b = keys & np.int64(FILTER_BITS - 1)
+            b = keys & np.int64(self.bits - 1)
             bucket = np.where(b > 0, (b - 1) // size + 1, 0)
             at = np.where(b > 0, (b - 1) % size, 0)
             return (flags[bucket, at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
@@ -69,7 +71,7 @@ class KeyFilter:
         return test
 
 
-def _filter_again(shared) -> KeyFilter:
+def _filter_again(bits: int, shared) -> KeyFilter:
     out = KeyFilter.__new__(KeyFilter)
-    out._shared = shared
+    out.bits, out._shared = bits, shared
     return out
