@@ -20,6 +20,11 @@ def audit_events(events: DataFrame) -> DataFrame:
     )
 
 
+def protected_events(transformed: DataFrame, session: str, at: Column) -> DataFrame:
+    """Audit events of what a transformation has protected (its ``events``); ``at`` is their ISO time."""
+    return transformed.select(F.col(session).cast("string").alias("session_id"), at.alias("ts"), F.explode("events").alias("e")).select("e.category", "e.value_hash", "ts", "session_id")
+
+
 def known(category: Column) -> Column:
     return category.isin(*P.CATEGORIES)
 

@@ -7,6 +7,7 @@ brackets, or has more lines than allowed, passes through untouched.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,16 @@ _LEX = re.compile(
 )
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
+_CONDITIONAL = frozenset(("if", "while", "for", "with"))
+#: Names of the language and its hosts: never renamed, never a file's own.
+GLOBALS = frozenset(
+    "Array ArrayBuffer BigInt Boolean Buffer DataView Date Error EvalError Float32Array Float64Array Function Infinity Int16Array Int32Array Int8Array Intl JSON Map Math NaN Number Object Partial Pick "
+    "Promise Proxy RangeError Readonly ReadonlyArray Record ReferenceError Reflect RegExp Required Set String Symbol SyntaxError TypeError URL Uint16Array Uint32Array Uint8Array WeakMap WeakSet "
+    "arguments clearInterval clearTimeout console decodeURIComponent document encodeURIComponent exports fetch global globalThis isFinite isNaN module parseFloat parseInt process require setInterval "
+    "setTimeout structuredClone window".split()
+)
+#: Keywords that begin a statement: an arrow's expression ends before them.
+_STATEMENTS = frozenset("const let var class interface enum import export return if for while switch throw try do break continue".split())
 
 
 @dataclass
@@ -46,12 +57,15 @@ def scan(source: str) -> list[Token] | None:
     Templates are cut into static parts and the code between them."""
     out: list[Token] = []
     open_: list[str] = []
+    conditions: list[bool] = []  # of each open bracket, whether it holds a statement's condition
+    condition = False  # whether the last token closed one
     at = 0
     while at < len(source):
         c = source[at]
         if c == "`" or (c == "}" and open_ and open_[-1] == "${"):
             if c == "}":
                 open_.pop()
+                conditions.pop()
             end = at + 1
             while True:
                 if end >= len(source):
@@ -64,29 +78,32 @@ def scan(source: str) -> list[Token] | None:
                 elif source.startswith("${", end):
                     end += 2
                     open_.append("${")
+                    conditions.append(False)
                     break
                 else:
                     end += 1
             out.append(Token("template", at, end, source[at:end]))
-            at = end
+            at, condition = end, False
             continue
         if c == "/" and not source.startswith(("//", "/*"), at):
             last = out[-1] if out else None
-            value = last and (last.kind in ("number", "string", "template") or last.text in (")", "]", "}") or (last.kind == "name" and last.text not in ("return", "typeof", "case", "in", "of")))
+            value = last and not condition and (last.kind in ("number", "string", "template") or last.text in (")", "]", "}") or (last.kind == "name" and last.text not in ("return", "typeof", "case", "in", "of")))
             if not value and (m := _REGEX.match(source, at)):
                 out.append(Token("regex", at, m.end(), m[0]))
-                at = m.end()
+                at, condition = m.end(), False
                 continue
         m = _LEX.match(source, at)
         if m is None:
             return None
         if m.lastgroup != "space":
-            out.append(Token(m.lastgroup, at, m.end(), m[0]))
             if m[0] in "([{":
+                conditions.append(m[0] == "(" and bool(out) and out[-1].text in _CONDITIONAL)
                 open_.append(m[0])
             elif m[0] in _PAIRS:
                 if not open_ or open_.pop() != _PAIRS[m[0]]:
                     return None
+            condition = m[0] in _PAIRS and conditions.pop() or (m.lastgroup == "comment" and condition)
+            out.append(Token(m.lastgroup, at, m.end(), m[0]))
         at = m.end()
     return None if open_ else out
 
@@ -204,6 +221,25 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
     # first pass: scopes and declarations
     scopes: list[Scope] = [top]
     ends: list[int] = []
+
+    def arrow(at: int, after: int, own: list[Token], body: int) -> None:
+        """An arrow's parameters are its own: of its block, or from here to the end of its expression."""
+        if body in close and code[body].text == "{":
+            pending[body] = ("block", [(x, None) for x in own], (at, after))
+            return
+        end = body
+        while end < len(code):
+            x = code[end]
+            if x.text in (",", ";") or (x.kind == "mark" and x.text in _PAIRS) or (end > body and x.kind == "name" and x.text in _STATEMENTS and code[end - 1].text != "."):
+                break
+            end = close[end] + 1 if end in close else end + 1
+        inner = Scope(scopes[-1], "block")
+        for x in own:
+            declare(inner, x, None)
+        scopes.append(inner)
+        ends.append(end - 1)
+        scope_at[at] = inner
+
     for i, t in enumerate(code):
         while ends and i > ends[-1]:
             ends.pop()
@@ -226,6 +262,13 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
                 scope_at[k] = inner
             scope = inner
         scope_at.append(scope)
+        if t.kind == "mark" and t.text == "(" and i in close:
+            j = close[i] + 1
+            if j < len(code) and code[j].text == ":":
+                while j < len(code) and code[j].text not in ("=>", ";", "{", ",", ")"):
+                    j += 1
+            if j < len(code) and code[j].text == "=>":
+                arrow(i, close[i] + 1, list(names_in(i + 1, close[i])), j + 1)
         if t.kind != "name":
             continue
         following = code[i + 1] if i + 1 < len(code) else Token("end", 0, 0, "")
@@ -303,19 +346,7 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
                     properties[t.text] = Declaration(t.text, "property", role, t.start)
                     declared.append(properties[t.text])
         if following.text == "=>" and t.text not in KEYWORDS:
-            _arrow(code, i, i + 1, i + 2, close, pending, declare, scope)
-    for i, t in enumerate(code):
-        if t.text == "(" and i in close:
-            j = close[i] + 1
-            if j < len(code) and code[j].text == ":":
-                while j < len(code) and code[j].text not in ("=>", ";", "{", ",", ")"):
-                    j += 1
-            if j < len(code) and code[j].text == "=>":
-                inner = _arrow_scope(scope_at, code, j + 1, close, i)
-                for x in names_in(i + 1, close[i]):
-                    declare(inner, x, None)
-                for k in range(i, close[i] + 1):
-                    scope_at[k] = inner
+            arrow(i, i + 1, [t], i + 2)
     # second pass: sites
     sites: list[tuple[int, int, Declaration, bool]] = []
     unresolved: list[tuple[int, int, str]] = []
@@ -351,21 +382,6 @@ def _gap(code: list[Token], i: int) -> str:
     return "\n" if code[i].start > code[i - 1].end else ""
 
 
-def _arrow(code, i, at, body, close, pending, declare, scope) -> None:
-    """A lone parameter before an arrow is opaque in the arrow's body, or where that is an expression
-    in the scope around it."""
-    if body in close and code[body].text == "{":
-        pending[body] = ("block", [(code[i], None)], (i, i + 1))
-    else:
-        declare(scope, code[i], None)
-
-
-def _arrow_scope(scope_at: list[Scope], code: list[Token], body: int, close: dict[int, int], i: int) -> Scope:
-    if body in close and code[body].text == "{":
-        return scope_at[body]
-    return scope_at[i]
-
-
 def forbidden_tokens(source: str) -> set[str]:
     """Identifiers and numbers of a text: names that no synthetic may take."""
     return set(re.findall(r"[A-Za-z_$][A-Za-z0-9_$]*|\d+", source))
@@ -429,6 +445,7 @@ class Result:
     comments: int = 0
     strings: int = 0
     constants: int = 0
+    hidden: list[tuple[str, str]] = field(default_factory=list)  # category and value of all that was protected
 
 
 def _splice(source: str, edits: list[tuple[int, int, str]]) -> str:
@@ -490,6 +507,7 @@ def redact(source: str, names: Names, comments: bool = True, strings: bool = Tru
         for k, t in enumerate(t for t in tokens if t.kind == "comment"):
             edits.append((t.start, t.end, placeholder(t.text, k, names.style)))
             out.comments += 1
+            out.hidden.append(("comment", t.text))
     if strings:
         contract = {t.text[1:-1] for i, t in enumerate(code) if t.kind == "string" and (i and code[i - 1].text == "|" or i + 1 < len(code) and code[i + 1].text == "|")}
         lengths: dict[str, int] = {}
@@ -507,6 +525,7 @@ def redact(source: str, names: Names, comments: bool = True, strings: bool = Tru
                 continue
             edits.append((t.start, t.end, t.text[0] + new + t.text[0]))
             out.strings += 1
+            out.hidden.append(("string", content))
         for i in range(len(code) - 2):
             if code[i].text in lengths and code[i + 1].text == "." and code[i + 2].text == "length" and i and code[i - 1].text == "=":
                 edits.append((code[i].start, code[i + 2].end, str(lengths[code[i].text])))
@@ -531,7 +550,8 @@ def obfuscate(source: str, names: Names, comments: bool = True, strings: bool =
         edits.append((start, end, f"{d.name}: {new}" if short else new))
     if known:
         edits += [(s, e, names.of[n]) for s, e, n in found.unresolved if n in names.of]
-    return Result(_splice(first.output, edits), True, found.declarations, first.comments, first.strings, first.constants)
+    hidden = [("identifier", d.name) for d in found.declarations] + first.hidden
+    return Result(_splice(first.output, edits), True, found.declarations, first.comments, first.strings, first.constants, hidden)
 
 
 def obfuscate_known(text: str, names: Names) -> str:
@@ -617,6 +637,7 @@ class Disguise:
     reason: str | None
     strings: dict[str, str] = field(default_factory=dict)
     comments: dict[str, str] = field(default_factory=dict)
+    glossary: dict[str, str] = field(default_factory=dict)
 
     def restore(self, text: str) -> str:
         """Comments first, then strings, then names; what the disguise doesn't know stays."""
@@ -625,10 +646,71 @@ class Disguise:
         return restore(text, {new: old for old, new in self.mapping.items()})
 
 
+def _own_names(code: list[Token], declarations: list[Declaration]) -> dict[str, str]:
+    """Names that a file gives itself, with their kinds: declarations, members of classes and enums, and
+    type parameters. The language's own names aren't among them."""
+    out = {d.name: d.kind for d in declarations}
+    text = lambda i: code[i].text if 0 <= i < len(code) else ""
+    name = lambda i: 0 <= i < len(code) and code[i].kind == "name" and code[i].text not in KEYWORDS
+    i = 0
+    while i < len(code):
+        if name(i) and text(i - 1) in ("{", ";", "}", "private", "public", "protected", "readonly", "static", "async", "get", "set") and text(i + 1) in ("(", ":", "?"):
+            out.setdefault(code[i].text, "member")
+        if text(i) == "enum" and name(i + 1) and text(i + 2) == "{":
+            out.setdefault(text(i + 1), "type")
+            depth, j = 1, i + 3
+            while j < len(code) and depth:
+                if depth == 1 and text(j - 1) in ("{", ",") and name(j):
+                    out.setdefault(text(j), "member")
+                depth += (text(j) in ("{", "(", "[")) - (text(j) in ("}", ")", "]"))
+                j += 1
+        opens = text(i) == "<" and ((name(i - 1) and (text(i - 2) in ("function", "class", "interface", "type", "*") or text(i - 1) in out)) or text(i - 1) in ("=", "(", ","))
+        if opens and name(i + 1) and text(i + 2) in (",", ">", "extends", "="):
+            j, depth, found = i + 1, 1, []
+            while j < len(code) and depth and text(j) not in (";", "{", "}"):
+                if depth == 1 and text(j - 1) in ("<", ",") and name(j):
+                    found.append(text(j))
+                depth += (text(j) == "<") - (text(j) == ">")
+                j += 1
+            # types that a call or a base is given are no parameters of its own
+            if not depth and (text(i - 2) in ("function", "class", "interface", "type", "*") or text(j) == "("):
+                for x in found:
+                    if x not in out and (len(x) > 0 and text(i - 2) != "new"):
+                        out[x] = "type"
+        i += 1
+    return {k: v for k, v in out.items() if k not in GLOBALS and k not in KEYWORDS}
+
+
+_LETTERS = re.compile(r"[^\W\d_]{2}")
+
+
+def _template_parts(t: Token) -> tuple[str, str, str]:
+    """A template token's delimiter, static text and delimiter."""
+    end = "${" if t.text.endswith("${") else "`"
+    return t.text[0], t.text[1 : len(t.text) - len(end)], end
+
+
+def glossary(domain: str, declarations: list[Declaration]) -> dict[str, str]:
+    """What a domain's words stand for: its things for the file's first type, its doing for the first
+    function, its state for the first property or variable."""
+    nouns = DOMAINS[domain]
+    first = lambda *kinds: next((d.name for d in declarations if d.kind in kinds), None)
+    thing, doing, state = first("type", "class"), first("function"), first("property", "variable")
+    out: dict[str, str] = {}
+    if thing:
+        out |= {nouns[0]: thing, f"{nouns[0]}s": thing, nouns[3]: thing}
+    if doing:
+        out |= {f"{nouns[1]}{x}": doing for x in ("", "ing", "ed", "s")}
+    if state:
+        out |= {nouns[2]: state, f"{nouns[2]}s": state}
+    return out
+
+
 def disguise(source: str, preferred: str | None = None) -> Disguise:
-    """The whole file retold in one domain: every name but keywords and globals, every comment, local
-    import path and prose string. The result is valid if it scans, keeps its shape, and no real name
-    and no other domain's noun is left."""
+    """The whole file retold in one domain: every name of its own, every comment, local import path,
+    prose string and static part of a template. The result is valid if it scans, keeps its shape, and
+    neither a name of the source that isn't the language's own, nor one of its texts, nor another domain's
+    noun is left. Members of values from elsewhere stay, as their names are no part of the file."""
     own = shape(source)
     if own is None:
         return Disguise(source, "", {}, False, "does not scan")
@@ -637,7 +719,6 @@ def disguise(source: str, preferred: str | None = None) -> Disguise:
     taken = forbidden_tokens(source)
     found = analyze(tokens, everything=True)
     code = [t for t in tokens if t.kind != "comment"]
-    members = {t.text for i, t in enumerate(code) if t.kind == "name" and i and code[i - 1].text in ("{", ";", "}", "private", "public", "readonly", "static") and i + 1 < len(code) and code[i + 1].text in ("(", ":", "?") and t.text not in KEYWORDS}
     mapping: dict[str, str] = {}
     counts: Counter[str] = Counter()
 
@@ -656,9 +737,10 @@ def disguise(source: str, preferred: str | None = None) -> Disguise:
     edits: list[tuple[int, int, str]] = []
     strings: dict[str, str] = {}
     comments: dict[str, str] = {}
-    renamed = {d.name: d.kind for d in found.declarations} | {m: "member" for m in members}
+    texts: list[str] = []
+    renamed = _own_names(code, found.declarations)
     for i, t in enumerate(code):
-        if t.kind == "name" and t.text in renamed and t.text not in KEYWORDS:
+        if t.kind == "name" and t.text in renamed:
             edits.append((t.start, t.end, named(t.text, renamed[t.text])))
         elif t.kind == "string":
             content, q = t.text[1:-1], t.text[0]
@@ -666,47 +748,81 @@ def disguise(source: str, preferred: str | None = None) -> Disguise:
                 made = f"{q}./{nouns[len(strings) % len(nouns)]}Module{len(strings) + 1}{q}"
             elif _prose(content):
                 made = f"{q}the {nouns[0]} and {nouns[1]} note {len(strings) + 1}{q}"
+                texts.append(content)
             else:
                 continue
             strings[made] = t.text
             edits.append((t.start, t.end, made))
+        elif t.kind == "template":
+            lead, static, end = _template_parts(t)
+            if not _LETTERS.search(static):
+                continue
+            head, tail = static[: len(static) - len(static.lstrip())], static[len(static.rstrip()) :]
+            made = f"{lead}{head}the {nouns[2]} and {nouns[3]} text {len(strings) + 1}{tail}{end}"
+            texts.append(static.strip())
+            strings[made] = t.text
+            edits.append((t.start, t.end, made))
     for k, t in enumerate(t for t in tokens if t.kind == "comment"):
         phrase = f"keeps {nouns[k % len(nouns)]} {k + 1} in step"
         made = f"// {phrase}" if t.text.startswith("//") else f"/* {phrase}" + "\n" * t.text.count("\n") + " */"
         comments[made] = t.text
+        texts.append(t.text.strip("/* \n"))
         edits.append((t.start, t.end, made))
     output = _splice(source, edits)
     other = {n for d, ns in DOMAINS.items() if d != domain for n in ns}
-    left = scan(output) or []
+    left = [t for t in scan(output) or [] if t.kind != "comment"]
     words = {t.text for t in left if t.kind == "name"}
+    # names of the source that stand free in the result, not as members of values from elsewhere
+    free = {t.text for i, t in enumerate(left) if t.kind == "name" and (i == 0 or left[i - 1].text not in (".", "?."))}
+    before = {t.text for t in code if t.kind == "name"}
+    keys = {t.text for i, t in enumerate(code) if t.kind == "name" and i + 1 < len(code) and code[i + 1].text == ":" and i and code[i - 1].text in ("{", ",")}
     after = shape(output)
     reason = (
         "does not scan" if after is None
-        else "real name left" if any(n in words for n in mapping if n not in mapping.values())
+        else "real name left" if any(n in words for n in mapping if n not in mapping.values()) or (free & before) - GLOBALS - KEYWORDS - keys
+        else "real text left" if any(x and _LETTERS.search(x) and x in output for x in texts)
         else "other vocabulary" if (other & words) - forbidden_tokens(source)
         else "shape changed" if any(own[k] != after[k] for k in COMPARED)
         else None
     )
-    return Disguise(output, domain, mapping, reason is None, reason, strings, comments)
+    return Disguise(output, domain, mapping, reason is None, reason, strings, comments, glossary(domain, found.declarations))
+
+
+#: Source that one session's group may hold: it is held in a task's memory.
+SESSION_BYTES = 256 << 20
+EVENTS = "events array<struct<category:string,value_hash:string>>"
+EVENTS_TYPE = pa.list_(pa.struct([("category", pa.string()), ("value_hash", pa.string())]))
+
+
+def hashed(hidden: list[tuple[str, str]]) -> list[dict[str, str]]:
+    """Audit entries of protected values: their category and SHA-256."""
+    return [{"category": c, "value_hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()} for c, v in hidden]
+
+
+def check_size(table: pa.Table, session) -> None:
+    if table.nbytes > SESSION_BYTES:
+        raise ValueError(f"session {session!r} holds {table.nbytes} bytes of source, more than {SESSION_BYTES}")
 
 
 def obfuscate_files(df: DataFrame, session: str, path: str, source: str, style: str = "compact", max_lines: int = 5000) -> DataFrame:
-    """(session, path, output, changed, mapping, comments, strings, constants) of each file.
+    """(session, path, output, changed, mapping, comments, strings, constants, events) of each file.
 
     Names of a session depend on those before, so a session's files are one group; groups are sessions,
-    never the corpus. Files go in order of their path.
+    never the corpus, and one of over ``SESSION_BYTES`` of source is an error. Files go in order of their
+    path. ``events`` has a category and a value's hash for each declaration, comment and string.
     """
-    schema = f"{session} string, {path} string, output string, changed boolean, mapping map<string,string>, comments long, strings long, constants long"
+    schema = f"{session} string, {path} string, output string, changed boolean, mapping map<string,string>, comments long, strings long, constants long, {EVENTS}"
 
     def run(key, table: pa.Table) -> pa.Table:
         names = Names(style)
         rows = []
+        check_size(table, key[0].as_py())
         for r in sorted(table.select([path, source]).to_pylist(), key=lambda r: r[path] or ""):
             x = obfuscate(r[source] or "", names, max_lines=max_lines)
             own = {d.name: names.of[d.name] for d in x.declarations if d.name in names.of}
-            rows.append((key[0].as_py(), r[path], x.output, x.changed, list(own.items()), x.comments, x.strings, x.constants))
-        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.int64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[session, path, "output", "changed", "mapping", "comments", "strings", "constants"])
+            rows.append((key[0].as_py(), r[path], x.output, x.changed, list(own.items()), x.comments, x.strings, x.constants, hashed(x.hidden)))
+        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.int64(), pa.int64(), EVENTS_TYPE]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[session, path, "output", "changed", "mapping", "comments", "strings", "constants", "events"])
 
     return df.select(F.col(session).cast("string").alias(session), path, source).groupBy(session).applyInArrow(lambda key, table: run(key, table), schema)
 

@@ -42,6 +42,8 @@ class Transformer:
         self.plans: dict[str, code.Disguise] = {}
         self.stats = dict.fromkeys(("names", "comments", "strings", "constants"), 0)
         self.labels: list[tuple[str, int]] = []
+        self.hidden: list[tuple[str, str]] = []
+        self.domains: list[str] = []
 
     def source(self, text: str, label: str) -> str:
         if not isinstance(text, str) or not text:
@@ -56,12 +58,16 @@ class Transformer:
             if not d.valid:
                 raise ValueError(d.reason)
             self.plans[label] = d
+            if d.domain not in self.domains:
+                self.domains.append(d.domain)
+            self.hidden += [("identifier", x) for x in d.mapping] + [("comment", x) for x in d.comments.values()] + [("string", x) for x in d.strings.values()]
             out, n = d.output, len(d.mapping)
             self.stats["comments"] += len(d.comments)
             self.stats["strings"] += len(d.strings)
         else:
             r = code.obfuscate(plain, self.names, max_lines=self.max_lines)
             out, n = r.output, len(r.declarations)
+            self.hidden += r.hidden
             self.stats["comments"] += r.comments
             self.stats["strings"] += r.strings
             self.stats["constants"] += r.constants
@@ -120,27 +126,34 @@ class Transformer:
         return str(call.get("name"))
 
 
-SCHEMA = "output string, error string, names long, comments long, strings long, constants long, labels array<struct<label:string,renamed:long>>, mapping map<string,string>"
+SCHEMA = "output string, error string, names long, comments long, strings long, constants long, labels array<struct<label:string,renamed:long>>, mapping map<string,string>, domains array<string>, " + code.EVENTS
 
 
 def transform_bodies(df: DataFrame, session: str, number: str, body: str = "body", mode: str = "pool", style: str = "compact", max_lines: int = 5000) -> DataFrame:
-    """(session, number, output, error, counters, labels, mapping) of each request."""
+    """(session, number, output, error, counters, labels, mapping, domains, events) of each request."""
 
     def run(key, table: pa.Table) -> pa.Table:
         tool, rows = Transformer(mode, style, max_lines), []
+        code.check_size(table, key[0].as_py())
         for r in sorted(table.to_pylist(), key=lambda r: r[number]):
-            tool.stats, tool.labels = dict.fromkeys(tool.stats, 0), []
+            tool.stats, tool.labels, tool.hidden, tool.domains = dict.fromkeys(tool.stats, 0), [], [], []
             output, error = tool.body(r[body])
             known = {k: v for p in tool.plans.values() for k, v in p.mapping.items()} if mode == "coherent" else dict(tool.names.of)
-            rows.append((key[0].as_py(), r[number], output, error, *tool.stats.values(), [{"label": a, "renamed": n} for a, n in tool.labels], list(known.items())))
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.struct([("label", pa.string()), ("renamed", pa.int64())])), pa.map_(pa.string(), pa.string())]
-        names = [session, number, "output", "error", "names", "comments", "strings", "constants", "labels", "mapping"]
+            rows.append((key[0].as_py(), r[number], output, error, *tool.stats.values(), [{"label": a, "renamed": n} for a, n in tool.labels], list(known.items()), tool.domains, code.hashed(tool.hidden)))
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.struct([("label", pa.string()), ("renamed", pa.int64())])), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), code.EVENTS_TYPE]
+        names = [session, number, "output", "error", "names", "comments", "strings", "constants", "labels", "mapping", "domains", "events"]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     narrow = df.select(F.col(session).cast("string").alias(session), F.col(number).cast("long").alias(number), body)
     return narrow.groupBy(session).applyInArrow(lambda key, t: run(key, t), f"{session} string, {number} long, {SCHEMA}")
 
 
+def stats(transformed: DataFrame, session: str) -> DataFrame:
+    """Counters of a session's requests, added up, and the domains that they used."""
+    sums = [F.sum(c).alias(c) for c in ("names", "comments", "strings", "constants")]
+    return transformed.groupBy(session).agg(F.count(F.lit(1)).alias("requests"), *sums, F.array_sort(F.array_distinct(F.flatten(F.collect_set("domains")))).alias("domains"))
+
+
 def marker(method: str, path: str, status: str, names: str, ms: str):
     """A line of the exchange log; of a target only the path is shown."""
     return F.format_string("%s %s -> %d, %d names, %d ms", F.col(method), F.regexp_replace(F.regexp_replace(F.col(path), r"^(?i:https?:)?//[^/]*", ""), r"[?#].*$", ""), F.col(status), F.col(names), F.col(ms))
