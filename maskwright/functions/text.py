@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +95,30 @@ def dirname(path: Column) -> Column:
     return F.when(~F.contains(path, F.lit("/")), F.lit(".")).when(found == "", F.lit("/")).otherwise(found)
 
 
+def replace_words(text: Column, mapping: dict[str, str]) -> Column:
+    """Every word of ``mapping`` by its value, in one pass: an alternation, longest word first, that is
+    bounded by ASCII letters, digits and underscore. Matches and the gaps between them are joined again."""
+    if not mapping:
+        return text
+    words = "|".join(re.escape(w) for w in sorted(mapping, key=lambda w: (-len(w), w)))
+    regex = rf"(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"
+    to = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    found = F.regexp_extract_all(text, F.lit(f"({regex})"), F.lit(1))
+    pieces = F.zip_with(F.split(text, regex, -1), found, lambda gap, w: F.concat(gap, F.coalesce(F.element_at(to, w), F.lit(""))))
+    return F.when(F.size(found) == 0, text).otherwise(F.array_join(pieces, ""))
+
+
+def url_display(url: Column) -> Column:
+    """Origin and path of a URL, without user, query and fragment; what is no URL gives a fixed text."""
+    parts = [F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#@]+)([^?#]*)", i) for i in (1, 2, 3)]
+    return F.when(parts[1] == "", "[invalid URL]").otherwise(F.concat(F.lower(parts[0]), F.lit("://"), F.lower(parts[1]), F.when(parts[2] == "", "/").otherwise(parts[2])))
+
+
+def log_path(target: Column) -> Column:
+    """The path of a request's target, fit for a log: no host, query or fragment."""
+    return F.regexp_replace(F.regexp_replace(target, r"^(?i:https?:)?//[^/]*", ""), r"[?#].*$", "")
+
+
 def plural(n: Column, noun: str) -> Column:
     return F.concat(n.cast("string"), F.lit(" " + noun), F.when(n == 1, F.lit("")).otherwise(F.lit("s")))
 

@@ -258,8 +258,11 @@ def analyze(tokens: list[Token], everything: bool = False) -> Analysis:
             _, own, (lo, hi) = pending.pop(i, ("", [], none))
             for name in own:
                 declare(inner, *name)
-            for k in range(lo, hi):  # a parameter list belongs to its function's scope
-                scope_at[k] = inner
+            for k in range(lo, hi):  # a parameter list belongs to its function's scope, arrows in it keep theirs
+                if scope_at[k] is scope:
+                    scope_at[k] = inner
+                elif scope_at[k].parent is scope:
+                    scope_at[k].parent = inner
             scope = inner
         scope_at.append(scope)
         if t.kind == "mark" and t.text == "(" and i in close:
@@ -656,6 +659,8 @@ def _own_names(code: list[Token], declarations: list[Declaration]) -> dict[str,
     while i < len(code):
         if name(i) and text(i - 1) in ("{", ";", "}", "private", "public", "protected", "readonly", "static", "async", "get", "set") and text(i + 1) in ("(", ":", "?"):
             out.setdefault(code[i].text, "member")
+        if text(i) == "as" and name(i - 1) and text(i - 2) in ("{", ","):
+            out.setdefault(text(i - 1), "variable")  # an import's name where it comes from
         if text(i) == "enum" and name(i + 1) and text(i + 2) == "{":
             out.setdefault(text(i + 1), "type")
             depth, j = 1, i + 3

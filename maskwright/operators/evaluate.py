@@ -59,6 +59,27 @@ def membership_errors(chosen: DataFrame, members: DataFrame) -> DataFrame:
     return j.withColumn("error", error).filter("error IS NOT NULL")
 
 
+def split_errors(corpus: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, error) of files that break the split: in both halves, in neither, or not in the corpus."""
+    halves = members.groupBy("path").agg(F.count_distinct("split").alias("splits"))
+    j = corpus.select("path").distinct().withColumn("is_file", F.lit(True)).join(halves, "path", "full")
+    error = F.when(F.col("is_file").isNull(), "no such file").when(F.col("splits").isNull(), "in no split").when(F.col("splits") > 1, "in both splits")
+    return j.select("path", error.alias("error")).filter("error IS NOT NULL")
+
+
+def compare_variants(captures: DataFrame, baseline: str = "original") -> DataFrame:
+    """Rate of suspicious responses of each fixture and variant, and its distance from the baseline's.
+    ``captures``: fixture_path, variant, response."""
+    rated = captures.groupBy("fixture_path", "variant").agg(F.count(F.lit(1)).alias("runs"), F.avg((F.size(signals(F.col("response"))) > 0).cast("double")).alias("rate"))
+    base = rated.filter(F.col("variant") == baseline).select("fixture_path", F.col("rate").alias("base"))
+    return rated.join(base, "fixture_path", "left").withColumn("difference", F.col("rate") - F.col("base")).drop("base")
+
+
+def budget_per_call(total: Column, fixtures: Column, trials: Column) -> Column:
+    """What one call of a pass may cost: each trial calls the model and its judge."""
+    return F.try_divide(total, fixtures * trials * 2)
+
+
 def variants(fixture_rows: DataFrame, names: tuple[str, ...], runs: int) -> DataFrame:
     """Each fixture with each variant and run number. Variants and runs are a short given list."""
     return fixture_rows.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in names]))).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))

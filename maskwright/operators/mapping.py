@@ -111,6 +111,21 @@ def path_aliases(paths: DataFrame, session: str, path: str, position: str, direc
     return first.withColumn("alias", alias).drop("__stem", "__ext")
 
 
+def alias_paths(text: Column, pairs: Column) -> Column:
+    """Known paths by their aliases, longest path first; ``pairs`` is array<struct<path,alias>>."""
+    return X.replace_literals(text, pairs, "path", "alias")
+
+
+def restore_paths(text: Column, pairs: Column) -> Column:
+    """Aliases by their paths, longest alias first."""
+    return X.replace_literals(text, pairs, "alias", "path")
+
+
+def as_map(names: DataFrame, session: str) -> DataFrame:
+    """Each session's whole mapping, synthetic to original, as one map."""
+    return names.groupBy(session).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("synthetic", "name")))).alias("mapping"))
+
+
 def discovered_paths(text: Column) -> Column:
     """Distinct path-shaped tokens of a text: files and folders, no URLs."""
     files = F.regexp_extract_all(text, F.lit(P.PATH_FILE), F.lit(1))

@@ -77,6 +77,22 @@ def routed(rows: DataFrame, key: str) -> DataFrame:
     return sent.unionByName(back).filter(F.length("value") > 0)
 
 
+def chat_text(raw: Column) -> tuple[Column, Column]:
+    """(text, error) of a chat response: the first choice's content, a string or an array of parts of
+    which those of type ``text`` are joined."""
+    choices = F.from_json(F.get_json_object(raw, "$.choices"), "array<string>")
+    message = F.get_json_object(F.get(choices, 0), "$.message")
+    content = F.get_json_object(message, "$.content")
+    is_list = F.coalesce(F.rlike(message, F.lit(r'"content"\s*:\s*\[')), F.lit(False))
+    parts = F.from_json(content, "array<struct<type:string,text:string>>")
+    joined = F.array_join(F.transform(F.filter(parts, lambda p: (p["type"] == "text") & p["text"].isNotNull()), lambda p: p["text"]), "")
+    is_text = F.coalesce(F.rlike(message, F.lit(r'"content"\s*:\s*"')), F.lit(False))
+    error = (
+        F.when(F.try_parse_json(raw).isNull(), "invalid json").when(choices.isNull(), "no choices").when(F.json_object_keys(message).isNull(), "no message").when(~is_list & ~is_text, "no text content")
+    )
+    return F.when(error.isNull(), F.when(is_list, joined).otherwise(content)), error
+
+
 def route_filter(method: Column, path: Column, enabled: bool = True) -> Column:
     """Requests that are transformed; absolute and protocol-relative targets never are."""
     return F.lit(enabled) & (method == "POST") & (F.regexp_replace(path, r"\?.*$", "") == "/v1/messages") & ~F.rlike(path, F.lit("(?i)^(https?:)?//"))

@@ -10,14 +10,36 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..sources.staging import staged
 from .numbering import numbered
 
 TYPES = ("PERSON", "ORGANIZATION", "EMAIL", "PHONE", "SSN", "MONEY")
 
 
+#: What a text must hold for a pattern to match at all.
+_SIGNS = {"EMAIL": lambda text: F.contains(text, F.lit("@")), "MONEY": lambda text: F.contains(text, F.lit("$"))}
+
+
+def _may_hold(text: Column, kind: str) -> Column:
+    return _SIGNS.get(kind, lambda t: F.rlike(t, F.lit("[0-9]{3}")))(text)
+
+
 def regex_spans(text: Column, types: tuple[str, ...] = tuple(P.ENTITY_PATTERNS)) -> Column:
-    """Spans of the entity patterns, one pattern after the other."""
-    return F.concat(*[X.find_spans(text, P.ENTITY_PATTERNS[t], t) for t in types])
+    """Spans of the entity patterns, one pattern after the other; a text without a pattern's sign isn't searched."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string,type:string>>")
+    return F.concat(*[F.when(text.isNull() | _may_hold(text, t), X.find_spans(text, P.ENTITY_PATTERNS[t], t)).otherwise(none) for t in types])
+
+
+def entity_counts(text: Column) -> Column:
+    """array<struct<type,n>>: how often each pattern matches."""
+    found = [F.when(text.isNull() | _may_hold(text, t), F.regexp_count(text, F.lit(P.java(p)))).otherwise(0) for t, p in P.ENTITY_PATTERNS.items()]
+    return F.array(*[F.struct(F.lit(t).alias("type"), n.alias("n")) for t, n in zip(P.ENTITY_PATTERNS, found, strict=True)])
+
+
+def restore_html(page: Column, pairs: Column) -> Column:
+    """Tokens back to reals in a page's text, never inside a tag."""
+    parts = F.regexp_extract_all(page, F.lit("(<[^>]*>|<[^>]*$|[^<]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(F.startswith(x, F.lit("<")), x).otherwise(restore_tokens(x, pairs))), "")
 
 
 def name_spans(text: Column) -> Column:
@@ -122,8 +144,7 @@ def anonymize(df: DataFrame, key: str, text: str = "text", spans: Column | None
     original and replacement of every occurrence, which make the restoration exact. Spans that are
     tokens of a given mapping are left alone, so a second pass changes nothing.
     """
-    wide = with_spans(df, text, spans)
-    rows = span_rows(wide, key)
+    rows = staged(span_rows(with_spans(df.select(key, text), text, spans), key), "spans")  # patterns run once
     if mapping is not None:
         rows = rows.join(mapping.select(F.col("token").alias("value"), "type").distinct(), ["value", "type"], "left_anti")
     fresh = mint(rows, key)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import text as X
 from . import code
 
 FIELDS = {"Edit": ("old_string", "new_string"), "Write": ("content",)}
@@ -156,4 +157,4 @@ def stats(transformed: DataFrame, session: str) -> DataFrame:
 
 def marker(method: str, path: str, status: str, names: str, ms: str):
     """A line of the exchange log; of a target only the path is shown."""
-    return F.format_string("%s %s -> %d, %d names, %d ms", F.col(method), F.regexp_replace(F.regexp_replace(F.col(path), r"^(?i:https?:)?//[^/]*", ""), r"[?#].*$", ""), F.col(status), F.col(names), F.col(ms))
+    return F.format_string("%s %s -> %d, %d names, %d ms", F.col(method), X.log_path(F.col(path)), F.col(status), F.col(names), F.col(ms))

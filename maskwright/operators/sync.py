@@ -33,8 +33,13 @@ def build_payloads(events: DataFrame, repo: Column, captured_at: Column) -> Data
     from pyspark.sql import Window
 
     keyed = events.filter(audit.known(F.col("category"))).withColumn("__repo", repo)
-    w = Window.partitionBy("__repo", "session_id").orderBy("ts", "value_hash", "category")
-    parts = keyed.withColumn("part", F.floor((F.row_number().over(w) - 1) / P.MAX_HASHES))
+    # places in a session from two levels, a running count of its days and a number within a day
+    days = keyed.groupBy("__repo", "session_id", X.day(F.col("ts")).alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__repo", "session_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
+    starts = days.withColumn("__first", F.coalesce(before, F.lit(0))).drop("__n")
+    within = Window.partitionBy("__repo", "session_id", "__day").orderBy("ts", "value_hash", "category")
+    placed = keyed.withColumn("__day", X.day(F.col("ts"))).join(starts, ["__repo", "session_id", "__day"])
+    parts = placed.withColumn("part", F.floor((F.col("__first") + F.row_number().over(within) - 1) / P.MAX_HASHES))
     grouped = parts.groupBy("__repo", "session_id", "part").agg(
         *audit.category_counts(), F.min("ts").alias("start"), F.max("ts").alias("end"),
         F.array_sort(F.collect_list(F.struct(F.col("ts").alias("timestamp"), "category", F.col("value_hash").alias("valueHash")))).alias("h"),

@@ -88,9 +88,7 @@ _COUNTS = " UNION ALL ".join(f"SELECT lang, '{t}' AS type, len(regexp_extract_al
 
 @query(f"SELECT lang, type, sum(n)::BIGINT AS n_found, count(*) FILTER (n > 0) AS n_docs FROM ({_COUNTS}) GROUP BY ALL")
 def pii_entity_counts(spark, sf):
-    d = T.table(spark, sf, "documents", "lang", "text")
-    found = [F.struct(F.lit(t).alias("type"), F.size(F.regexp_extract_all("text", F.lit(f"({P.java(p)})"), F.lit(1))).alias("n")) for t, p in P.ENTITY_PATTERNS.items()]
-    rows = d.select("lang", F.inline(F.array(*found)))
+    rows = T.table(spark, sf, "documents", "lang", "text").select("lang", F.inline(pii.entity_counts(F.col("text"))))
     return rows.groupBy("lang", "type").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_found"), F.count_if(F.col("n") > 0).alias("n_docs"))
 
 
@@ -259,10 +257,8 @@ _KNOWN = ("the", "that", "and", "with")
 
 @query("SELECT doc_id, " + "".join("regexp_replace(" for _ in _KNOWN) + "text" + "".join(f", '\\b{w}\\b', 'var_{i + 1}', 'g')" for i, w in enumerate(_KNOWN)) + " AS text FROM documents")
 def known_names_replace(spark, sf):
-    text = F.col("text")
-    for i, w in enumerate(_KNOWN):
-        text = F.regexp_replace(text, P.java(rf"\b{w}\b"), f"var_{i + 1}")
-    return T.table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.alias("text"))
+    names = {w: f"var_{i + 1}" for i, w in enumerate(_KNOWN)}
+    return T.table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.replace_words(F.col("text"), names).alias("text"))
 
 
 # ---- audit, payloads, dashboard
@@ -521,8 +517,7 @@ def html_text_rehydrate(spark, sf):
     """Tokens restored in text between tags, never inside one."""
     p = T.table(spark, sf, "pages", "page_id", "html")
     pairs = F.array(*[F.struct(F.lit(a).alias("token"), F.lit(b).alias("real")) for a, b in (("the", "Candidate_Alpha"), ("and", "Company_1"))])
-    parts = F.regexp_extract_all("html", F.lit("(<[^>]*>|<[^>]*$|[^<]+)"), F.lit(1))
-    return p.select("page_id", F.array_join(F.transform(parts, lambda x: F.when(F.startswith(x, F.lit("<")), x).otherwise(pii.restore_tokens(x, pairs))), "").alias("html"))
+    return p.select("page_id", pii.restore_html(F.col("html"), pairs).alias("html"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders")

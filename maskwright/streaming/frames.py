@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +25,65 @@ def frames(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.split(text, "\n\n", -1)).alias("seq", "frame")).filter(F.length("frame") > 0)
 
 
+class ChunkDecoder:
+    """Bytes in, whole frames out: characters and frames may be cut anywhere between chunks."""
+
+    def __init__(self, held: bytes = b"", text: str = ""):
+        self.held, self.text = held, text
+
+    def push(self, chunk: bytes) -> list[str]:
+        raw = self.held + chunk
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        self.text += decoder.decode(raw)
+        self.held = decoder.getstate()[0]
+        *whole, self.text = self.text.split("\n\n")
+        return [x for x in whole if x]
+
+    def flush(self) -> list[str]:
+        last, self.text, self.held = self.text + self.held.decode("utf-8", "replace"), "", b""
+        return [last] if last else []
+
+
+def decode_chunks(df: DataFrame, key: str, order: str, chunk: str) -> DataFrame:
+    """(key, seq, frame) of streams that come as binary chunks; a task holds one stream's tail."""
+
+    def run(batches):
+        at, tool, seq = None, None, 0
+
+        def rows(found):
+            nonlocal seq
+            out = [(at, seq + i, x) for i, x in enumerate(found)]
+            seq += len(out)
+            return out
+
+        for batch in batches:
+            out = []
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if tool is None or k != at:
+                    out += rows(tool.flush()) if tool else []
+                    at, tool, seq = k, ChunkDecoder(), 0
+                out += rows(tool.push(raw or b""))
+            if out:
+                yield _frame_batch(out)
+        if tool and (out := rows(tool.flush())):
+            yield _frame_batch(out)
+
+    def _frame_batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], names=["k", "seq", "frame"])
+
+    narrow = df.select(F.col(key).cast("string").alias("k"), F.col(chunk).alias("c"), F.col(order).alias("o"))
+    return narrow.repartition("k").sortWithinPartitions("k", "o").select("k", "c").mapInArrow(run, "k string, seq int, frame string").withColumnRenamed("k", key)
+
+
+def debounced(df: DataFrame, key: str, ts: str, tie: str, ms: int = 150) -> DataFrame:
+    """The last of each burst of changes: those that no other follows within ``ms`` milliseconds."""
+    from pyspark.sql import Window
+
+    following = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, tie))
+    gap = F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    return df.withColumn("__gap", gap).filter(F.col("__gap").isNull() | (F.col("__gap") >= ms * 1000)).drop("__gap")
+
+
 def within_bytes(df: DataFrame, key: str, order: str, value: str, most: int) -> DataFrame:
     """``df`` with the running bytes of each stream, and whether they are within the limit."""
     from pyspark.sql import Window
@@ -92,12 +153,13 @@ class FrameRestorer:
         return out
 
 
-def restore_frames(df: DataFrame, key: str, order: str, frame: str, mapping: dict[str, str], holdback: int = HOLDBACK) -> DataFrame:
-    """Batch twin of the stream: (key, seq, frame) restored, each stream in its order."""
+def restore_frames(df: DataFrame, key: str, order: str, frame: str, mapping: dict[str, str], holdback: int = HOLDBACK, buffer_text: bool = False) -> DataFrame:
+    """Batch twin of the stream: (key, seq, frame) restored, each stream in its order. With
+    ``buffer_text`` a block's text is held until the block stops, as rewriting of comments needs it."""
     schema = f"{key} string, seq long, frame string"
 
     def run(k, rows: pd.DataFrame) -> pd.DataFrame:
-        tool = FrameRestorer(mapping, holdback)
+        tool = FrameRestorer(mapping, holdback, buffer_text)
         out = [x for f in rows.sort_values(order)[frame] for x in tool.push(f)] + tool.flush()
         return pd.DataFrame({key: [str(k[0])] * len(out), "seq": range(len(out)), "frame": out})
 
