@@ -832,6 +832,35 @@ def obfuscate_files(df: DataFrame, session: str, path: str, source: str, style:
     return df.select(F.col(session).cast("string").alias(session), path, source).groupBy(session).applyInArrow(lambda key, table: run(key, table), schema)
 
 
+def disguise_files(df: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, output, domain, valid, reason, restored) of each file, told in a domain of its own."""
+    text = F.lit(None).cast("string")
+    schema = df.select(F.col(key), text.alias("output"), text.alias("domain"), F.lit(None).cast("boolean").alias("valid"), text.alias("reason"), text.alias("restored")).schema
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            made = [disguise(x or "") for x in batch.column(1).to_pylist()]
+            columns = [[d.output for d in made], [d.domain for d in made], [d.valid for d in made], [d.reason for d in made], [d.restore(d.output) for d in made]]
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+    return df.select(key, source).mapInArrow(run, schema)
+
+
+def shapes_of(df: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, part, n): structural counts of files that scan."""
+    schema = df.select(F.col(key), F.lit("").alias("part"), F.lit(0).cast("long").alias("n")).schema
+
+    def run(batches):
+        for batch in batches:
+            found = [(i, k, n) for i, x in enumerate(batch.column(1).to_pylist()) for k, n in (shape(x or "") or {}).items()]
+            at, parts, n = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(parts, pa.string()), pa.array(n, pa.int64())], names=schema.names)
+
+    return df.select(key, source).mapInArrow(run, schema)
+
+
 def tokens_of(df: DataFrame, key: str, source: str) -> DataFrame:
     """(key, kind, start, end, text): a row for each token of files that scan."""
     schema = df.select(F.col(key), F.lit("").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text")).schema

@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Registered queries."""
+
+from . import more as more  # registers its queries beside those of ``queries``

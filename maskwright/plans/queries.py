@@ -200,13 +200,6 @@ def mapping_reverse(spark, sf):
     return mapping.invert(T.table(spark, sf, "events", "event_id", "user_id", "event_type"), "user_id", "event_type", "event_id")
 
 
-@query("SELECT o_orderkey, coalesce(c_name, o_custkey::VARCHAR) AS name FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey")
-def mapping_lookup(spark, sf):
-    o = T.table(spark, sf, "orders", "o_orderkey", "o_custkey").withColumn("key", F.col("o_custkey").cast("string"))
-    m = T.table(spark, sf, "customer", "c_custkey", "c_name").filter("c_custkey % 3 = 0").withColumn("c_custkey", F.col("c_custkey").cast("string"))
-    return mapping.lookup(o, m, "key", "c_custkey", "c_name", "name").select("o_orderkey", "name")
-
-
 @query("""WITH u AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), z AS (SELECT max(ts) AS now FROM events)
 SELECT user_id, epoch_us(now) // 1000 - epoch_us(last) // 1000 AS idle_ms, epoch_us(now) // 1000 - epoch_us(last) // 1000 >= 1800000 AS is_expired FROM u, z""")
 def mapping_ttl(spark, sf):
@@ -221,17 +214,6 @@ def mapping_capacity(spark, sf):
     return mapping.within_capacity(T.table(spark, sf, "events", "user_id", "event_id", "ts"), "user_id", "ts", "event_id", 20).select("user_id", "event_id")
 
 
-@query("""WITH m AS (SELECT 'n' || k AS original, 's' || k AS synthetic FROM range(0, 20) t(k)),
-w AS (SELECT DISTINCT 'n' || (p_partkey % 40) AS original, 's' || (p_size % 45) AS synthetic FROM part)
-SELECT w.original, w.synthetic, (a.synthetic IS NULL OR a.synthetic = w.synthetic) AND (b.original IS NULL OR b.original = w.original) AS accepted
-FROM w LEFT JOIN m a ON a.original = w.original LEFT JOIN m b ON b.synthetic = w.synthetic""")
-def mapping_register_exact(spark, sf):
-    m = spark.range(20).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("original"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("synthetic"))
-    p = T.table(spark, sf, "part", "p_partkey", "p_size")
-    wanted = p.select(F.concat(F.lit("n"), (F.col("p_partkey") % 40).cast("string")).alias("original"), F.concat(F.lit("s"), (F.col("p_size") % 45).cast("string")).alias("synthetic")).distinct()
-    return mapping.register_exact(m, wanted)
-
-
 @query("""WITH f AS (SELECT p_brand AS session, CASE WHEN p_size % 4 = 0 THEN 'lib/' || p_type ELSE 'lib/' || p_type || '/' || replace(p_name, ' ', '_') || CASE WHEN p_size % 2 = 0 THEN '.ts' ELSE '.tsx' END END AS path, p_size % 4 = 0 AS is_dir, p_partkey FROM part),
 g AS (SELECT session, path, is_dir, min(p_partkey) AS first_pos FROM f GROUP BY ALL),
 h AS (SELECT *, CASE WHEN is_dir THEN 'workspace' ELSE 'source' END AS stem, CASE WHEN is_dir THEN '' ELSE regexp_extract(path, '\\.[A-Za-z0-9]+$') END AS ext FROM g),
@@ -499,11 +481,11 @@ def line_numbers(spark, sf):
     return d.select("doc_id", X.line_count(F.col("text")).cast("long").alias("n_lines"), same.alias("is_same"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
  CASE WHEN length(url) > 60 THEN left(url, 60) || '…' ELSE url END AS label, upper(url[1]) || url[2:] AS capital, regexp_extract(url, '\\.[A-Za-z0-9]+$') AS ext, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder FROM pages""")
 def text_functions(spark, sf):
     p, u = T.table(spark, sf, "pages", "page_id", "url", "html"), F.col("url")
-    return p.select("page_id", X.escape_html(F.substring("html", 1, 300)).alias("escaped"), X.truncate(u).alias("label"), X.capitalize(u).alias("capital"), X.extension(u).alias("ext"), X.dirname(u).alias("folder"))
+    return p.select("page_id", X.escape_html(F.col("html")).alias("escaped"), X.truncate(u).alias("label"), X.capitalize(u).alias("capital"), X.extension(u).alias("ext"), X.dirname(u).alias("folder"))
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
@@ -554,17 +536,7 @@ def code_tokens(spark, sf):
 
 @query()
 def code_disguise(spark, sf):
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            made = [code.disguise(x or "") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([d.domain for d in made]), pa.array([d.valid for d in made]), pa.array([d.reason for d in made], pa.string()), pa.array([d.output for d in made])],
-                names=["p_partkey", "domain", "valid", "reason", "output"],
-            )
-
-    return T.snippets(spark, sf).select("p_partkey", "source").mapInArrow(run, "p_partkey long, domain string, valid boolean, reason string, output string")
+    return code.disguise_files(T.snippets(spark, sf), "p_partkey", "source").select("p_partkey", "domain", "valid", "reason", "output")
 
 
 # ---- frames
