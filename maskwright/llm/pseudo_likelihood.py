@@ -10,7 +10,7 @@ the vocabulary.
 What is gathered from the corpus grows with it: words are counted over all texts, and every
 partition trains on its own texts: every token of every document is a target once a round, with its
 neighbours as context, in batches that grow with the targets seen. After a round the partitions' weights
-are averaged by targets, in a tree of ``FAN_IN``, and go out again; a model has a fixed size of about 160 kB.
+are averaged by targets, in a tree of ``FAN_IN``, and go out again; a model has a fixed size of about 350 kB.
 
 The weights depend on how the rows lie in partitions, as in any averaged training; for one layout
 they are the same in every run, so a lost executor's tasks give what they gave before.
@@ -33,9 +33,9 @@ from .shared import drop_staged, read_table, staged
 from .shingles import words_and_endings_of
 from .tokens import batches_of, slices
 
-GROUPS = MEMBERS = 32
+GROUPS = MEMBERS = 48
 VOCABULARY = GROUPS * MEMBERS
-ENDINGS = 128
+ENDINGS = 256
 WORDS = VOCABULARY - ENDINGS
 SIDE = 2
 SLOTS = (-2, -1, 1, 2)
@@ -44,7 +44,7 @@ ROUNDS = 1
 #: Targets of the first step and of the largest; between them a step takes a sixteenth of those seen.
 BATCH, BATCH_MOST = 128, 2048
 RATE = 0.08
-FAN_IN = 256
+FAN_IN = 128
 #: Counted words that go to every worker, at most; rarer ones are joined.
 TABLE = 1 << 20
 #: Words that a worker counts before it hands the counts on.
