@@ -13,7 +13,7 @@ from maskwright.functions import patterns as P
 from maskwright.functions import text as X
 from maskwright.operators import audit, code, evaluate, mapping, messages, numbering, pii, rehydrate, sync
 from maskwright.session import Settings
-from maskwright.sources import logs
+from maskwright.sources import keys, logs
 from maskwright.streaming import frames as S
 
 
@@ -354,3 +354,182 @@ def test_session_names_stream(spark, tmp_path):
     until(spark, q, "numbered", 5)
     # the oldest inserted goes when the third name comes, so "a" is numbered anew
     assert [(r["name"], r["number"]) for r in spark.table("numbered").collect()] == [("a", 1), ("b", 2), ("a", 1), ("c", 3), ("a", 4)]
+
+
+# ---- arrows, regular expressions, whole-file disguises
+
+
+@pytest.mark.parametrize(
+    "source,output",
+    [
+        ("const a = [1].map(total => total + 1);\nconst total = 5;", "const var_1 = [1].map(total => total + 1);\nconst var_2 = 5;"),
+        ("const rate = 1; const f = rate => rate * 2; g(rate)", "const var_1 = 1; const var_2 = rate => rate * 2; g(var_1)"),
+        ("const f = (a, b) => a + b + c;\nconst c = 2, a = 3;", "const var_1 = (a, b) => a + b + var_2;\nconst var_2 = 2, var_3 = 3;"),
+        ("const z = xs.map(x => x * 2)\nconst x = 3\nprint(x)", "const var_1 = xs.map(x => x * 2)\nconst var_2 = 3\nprint(var_2)"),
+        ("const f = x => ({ total: x, y });const total = 1, y = 2", "const var_1 = x => ({ total: x, y: var_2 });const var_3 = 1, var_2 = 2"),
+        ("function g(h = rate => rate + 1) { const rate = 2; return h(rate); }", "function func_1(h = rate => rate + 1) { const var_1 = 2; return h(var_1); }"),
+        ("const f = x => y => x + y; const x = 1, y = 2;", "const var_1 = x => y => x + y; const var_2 = 1, var_3 = 2;"),
+        ("const f = async (x) => { const base = x; return base; };\nconst x = 1;", "const var_1 = async (x) => { const var_2 = x; return var_2; };\nconst var_3 = 1;"),
+        ("if (x) /it's/.test(x);\nconst y = 1;", "if (x) /it's/.test(x);\nconst var_1 = 1;"),
+        ("const k = (a / b) / 2, s = 'it';", "const var_1 = (a / b) / 2, var_2 = 'it';"),
+    ],
+)
+def test_arrows_and_regular_expressions(source, output):
+    assert code.obfuscate(source, code.Names()).output == output
+
+
+def test_disguise_leaves_no_text_or_name():
+    source = """// Acme payroll
+import { load as fetchPay } from './payroll';
+enum Plan { PayrollGold = 1, PayrollBasic }
+function pay<TPayroll>(x: TPayroll, rate: number): string {
+  const amount = Math.round(rate * 2);
+  return `Acme payroll of ${amount} for Contoso staff`;
+}
+class Box<TItem extends object> { keep(item: TItem): TItem { return item; } }
+const pick = <TRow>(row: TRow) => row;
+console.log(pick(`${amountOf(3)}%`), new Map<string, Plan>());
+"""
+    d = code.disguise(source)
+    assert not d.valid and d.reason == "real name left"  # amountOf is nobody's own and no name of the language
+    d = code.disguise(source.replace("amountOf(3)", "fetchPay(3)"))
+    assert d.valid and d.restore(d.output) == source.replace("amountOf(3)", "fetchPay(3)")
+    for name in ("Acme", "Contoso", "payroll", "PayrollGold", "PayrollBasic", "Plan", "TItem", "TRow", "load", "fetchPay", "keep", "amount"):
+        assert not re.search(rf"\b{name}\b", d.output), name
+    assert "Math.round" in d.output and "console.log" in d.output and "new Map<string" in d.output
+    assert d.glossary and set(d.glossary.values()) <= set(re.findall(r"\w+", source))
+
+
+def test_events_of_protected_values(spark):
+    import hashlib
+
+    rows = [("s", "a.ts", "// who\nconst secretRate = 2;"), ("s", "b.ts", "const secretRate = 3;"), ("t", "c.ts", "const broken = (;"), ("t", "d.ts", None)]
+    out = code.obfuscate_files(spark.createDataFrame(rows, "session string, path string, source string"), "session", "path", "source")
+    got = sorted((r["session_id"], r["category"], r["value_hash"]) for r in audit.protected_events(out, "session", F.lit("2024-01-01T00:00:00.000Z")).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == sorted([("s", "comment", sha("// who"))] + [("s", "identifier", sha("secretRate"))] * 2)
+
+
+def test_a_session_too_big_for_a_task_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(code, "SESSION_BYTES", 10)
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="more than 10"):
+        code.check_size(pa.table({"x": ["a" * 100]}), "s")
+
+
+# ---- stores, keys, connections
+
+
+def test_key_is_made_once(tmp_path):
+    store = keys.FileKeyStore(str(tmp_path / "key"))
+    first = store.key()
+    assert len(first) == 32 and keys.FileKeyStore(str(tmp_path / "key")).key() == first and (tmp_path / "key").stat().st_mode & 0o777 == 0o600
+    (tmp_path / "short").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        keys.FileKeyStore(str(tmp_path / "short")).key()
+    assert keys.authorized("a", "a") and not keys.authorized("ab", "a") and not keys.authorized(None, "a")
+
+
+def test_connection_file(tmp_path):
+    path = str(tmp_path / "c.json")
+    assert logs.read_connection(path) is None
+    logs.write_connection(path, "https://x.org", "t")
+    assert logs.read_connection(path) == {"url": "https://x.org", "token": "t"} and (tmp_path / "c.json").stat().st_mode & 0o777 == 0o600
+    for bad in ("{", "[]", '{"url":1,"token":"t"}'):
+        (tmp_path / "c.json").write_text(bad)
+        assert logs.read_connection(path) is None
+
+
+def test_store_choice_and_sending(spark):
+    assert logs.store_format("jdbc:postgresql://x") == "jdbc" and logs.store_format(None) == "parquet"
+    with pytest.raises(ValueError):
+        logs.store_format("", hosted=True)
+    df, sent = spark.createDataFrame([("{}",), ("{}",)], "payload_json string"), []
+    assert logs.send_payloads(df, lambda x: sent.append(x) or 202) == 2 and len(sent) == 2
+    assert logs.send_payloads(df.limit(0), lambda x: 500) == 0
+    with pytest.raises(RuntimeError):
+        logs.send_payloads(df, lambda x: 500)
+
+
+def test_ingest_statuses(spark, tmp_path):
+    good = spark.createDataFrame([("x", "identifier", "ab" * 32, "2024-01-01T00:00:00.000Z")], "session_id string, category string, value_hash string, ts string")
+    payloads = sync.build_payloads(good, F.lit("repo"), F.lit("2024-01-02T00:00:00.000Z"))
+    rows, held = f"{tmp_path}/rows", f"{tmp_path}/quarantine"
+    assert logs.ingest_request(payloads, "no", "token", rows, held) == 401
+    assert logs.ingest_request(payloads, "token", "token", rows, held) == 202
+    assert logs.ingest_request(spark.createDataFrame([("{}",)], "payload_json string"), "token", "token", rows, held) == 400
+    assert [r["payload"]["totals"]["identifier"] for r in logs.read_store(spark, rows).collect()] == [1] and spark.read.parquet(held).count() == 1
+
+
+def test_payload_parts_are_bounded(spark, monkeypatch):
+    from maskwright.functions import patterns
+
+    monkeypatch.setattr(patterns, "MAX_HASHES", 4)
+    rows = [("s", "secret", f"{i:064x}", f"2024-01-0{1 + i % 3}T00:00:00.000Z") for i in range(10)]
+    events = spark.createDataFrame(rows, "session_id string, category string, value_hash string, ts string")
+    got = [json.loads(r["payload_json"]) for r in sync.build_payloads(events, F.lit("r"), F.lit("2024-01-09T00:00:00.000Z")).collect()]
+    assert sorted(len(p["hashes"]) for p in got) == [2, 4, 4] and sum(p["totals"]["secret"] for p in got) == 10
+    times = sorted(([h["timestamp"] for h in p["hashes"]] for p in got))
+    assert [t for part in times for t in part] == sorted(t for part in times for t in part)
+
+
+def test_summary_of_a_pass(spark, tmp_path):
+    trials = spark.createDataFrame([("a", "completed", True), ("a", "completed", False), ("b", "failed", None)], "fixture_path string, status string, suspicious boolean")
+    logs.write_pass_summary(trials, f"{tmp_path}/summary")
+    got = {r["fixture_path"]: r for r in spark.read.json(f"{tmp_path}/summary").collect()}
+    assert got["a"]["suspicion_rate"] == 0.5 and got["b"]["suspicion_rate"] is None and got["b"]["failed"] == 1
+
+
+def test_requests_are_bounded_and_read(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("short\n" + "x" * 50 + "\n")
+    good, bad = logs.read_requests(spark, str(tmp_path / "in.jsonl"), 10)
+    assert [r[0] for r in good.collect()] == ["short"] and bad.count() == 1
+    (tmp_path / "m.json").write_text('{"tuning":["a","b"],"heldOut":["c"]}')
+    assert sorted(tuple(r) for r in evaluate.fixtures(logs.read_manifest(spark, str(tmp_path / "m.json"))).collect()) == [("a", "tuning"), ("b", "tuning"), ("c", "held-out")]
+    logs.capture_raw(spark.createDataFrame([("raw body",)], "value string"), f"{tmp_path}/raw")
+    assert spark.read.text(f"{tmp_path}/raw").first()[0] == "raw body"
+    logs.write_trials(spark.createDataFrame([("f", 1)], "fixture string, run int"), f"{tmp_path}/trials")
+    assert spark.read.json(f"{tmp_path}/trials").first()["fixture"] == "f"
+
+
+# ---- streams, chunks, words
+
+
+@given(st.text(max_size=60), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_chunks_may_cut_anywhere(text, size):
+    raw, tool, out = text.encode("utf-8", "replace"), S.ChunkDecoder(), []
+    for i in range(0, len(raw), size):
+        out += tool.push(raw[i : i + size])
+    assert out + tool.flush() == [x for x in raw.decode().split("\n\n") if x]
+
+
+def test_words_are_replaced_in_one_pass(spark):
+    got = one(spark, "de the de_the then the.the de", X.replace_words(F.col("text"), {"the": "de", "de": "the"}))
+    assert got == "the de de_the then de.de the" and one(spark, "x", X.replace_words(F.col("text"), {})) == "x"
+    assert one(spark, "none here", X.replace_words(F.col("text"), {"a+b": "c"})) == "none here" and one(spark, "a+b c", X.replace_words(F.col("text"), {"a+b": "c"})) == "c c"
+
+
+def test_urls_and_paths_for_display(spark):
+    rows = [("https://U:p@Host.org:8080/a/b?k=1#x", "https://host.org:8080/a/b", "/a/b"), ("http://h", "http://h/", ""), ("nonsense", "[invalid URL]", "nonsense"), ("//evil/v1?x", "[invalid URL]", "/v1"), ("/v1/a#b", "[invalid URL]", "/v1/a")]
+    for url, shown, path in rows:
+        assert (one(spark, url, X.url_display(F.col("text"))), one(spark, url, X.log_path(F.col("text")))) == (shown, path)
+
+
+def test_property_and_variable_roles():
+    source = "interface A { n: number; b: boolean; e: 'x' | 'y'; o: Date }\nlet sum = 0; sum += 1;\nconst top = Math.max(1, 2), gap = a - b, on = a > b, same = a;"
+    found = {d.name: d.role for d in code.analyze(code.scan(source)).declarations}
+    assert found == {"A": None, "n": "number", "b": "boolean", "e": "enum", "o": "other", "sum": "accumulator", "top": "clamped", "gap": "difference", "on": "boolean", "same": "passthrough"}
+
+
+def test_domain_choice():
+    plain = dict.fromkeys(code.SHAPE, 0)
+    cases = [({"classes": 1}, "inventory"), ({"enum_arity": 4}, "routing"), ({"branches": 3}, "routing"), ({"numbers": 5, "booleans": 1}, "scheduling"), ({"strings": 1}, "publishing"), ({}, "forecasting")]
+    assert all(code.choose_domain(plain | s) == d for s, d in cases) and code.choose_domain(plain, "routing") == "routing"
+
+
+def test_stealth_names_count_by_role():
+    names = code.Names("stealth")
+    got = [names.named(n, "variable", r, set()) for n, r in (("a", "clamped"), ("b", "clamped"), ("c", "boolean"), ("d", None))]
+    assert got == ["clampedFirstLedger", "clampedSecondLedger", "booleanFirstLedger", "firstLedger"]
