@@ -144,7 +144,8 @@ _OBJECT_BEFORE = frozenset(("=", "(", ",", ":", "[", "?", "&&", "||", "??", "ret
 def _role(tokens: list[Token], i: int, name: str, mutated: set[str]) -> str:
     """What a variable is, from its first value: accumulator, clamped, difference, boolean or passthrough."""
     value, depth = [], 0
-    for t in tokens[i:]:
+    for j in range(i, len(tokens)):
+        t = tokens[j]
         if t.text in ("(", "[", "{"):
             depth += 1
         elif t.text in (")", "]", "}"):

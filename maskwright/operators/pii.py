@@ -68,7 +68,9 @@ def name_spans(text: Column) -> Column:
         start = s["start"] + head["shift"]
         return F.struct(start.alias("start"), (start + F.length(phrase)).alias("end"), phrase.alias("value"), F.size(kept).alias("n"))
 
-    found = F.transform(X.find_spans(text, P.CAPITALIZED), stripped)
+    # a single word loses nothing and stays only if it is known: most phrases end here
+    likely = F.filter(X.find_spans(text, P.CAPITALIZED), lambda s: F.rlike(s["value"], F.lit(r"\s")) | F.array_contains(known, s["value"]))
+    found = F.transform(likely, stripped)
     named = F.filter(found, lambda s: ~F.rlike(s["value"], F.lit(P.ACRONYM)) & ((s["n"] > 1) | F.array_contains(known, s["value"])))
 
     def classed(s: Column) -> Column:
