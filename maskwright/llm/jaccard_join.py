@@ -50,6 +50,8 @@ HOT_LEAST, HOT_MOST = 6, 200_000
 ROUNDS, STARS = 3, 8
 #: Lists looked back at, so that sets with many lists in common don't make a pair in each.
 BEFORE = 6
+#: Keys of sets that are broadcast, at most (8 MB).
+KEYS_MOST = 1 << 20
 #: Shingles counted at once by a worker.
 CHUNK = 4_000_000
 
@@ -105,7 +107,7 @@ def _survey(docs: DataFrame, t: tuple[int, int]) -> DataFrame:
                     sets.append(None)
                     if len(s) and keys[-1] not in seen:
                         seen.add(keys[-1])
-                        sketches[-1], sets[-1] = sketch(s), s.tobytes()
+                        sketches[-1], sets[-1] = sketch(s), s.view(np.int64)
                         sizes[min(len(s), MOST_LIGHT * 2)] = sizes.get(min(len(s), MOST_LIGHT * 2), 0) + 1
                         held.append(s)
                         entries += prefix(len(s), 1, t)
@@ -118,12 +120,12 @@ def _survey(docs: DataFrame, t: tuple[int, int]) -> DataFrame:
             yield chunk()
         yield _rows([1] * len(sizes) + [2], [*sizes, entries], [*sizes.values(), 0])
 
-    return docs.mapInArrow(run, "kind int, key long, n long, doc_id long, sketch binary, row_key long, shingles binary")
+    return docs.mapInArrow(run, "kind int, key long, n long, doc_id long, sketch binary, row_key long, shingles array<long>")
 
 
 def _rows(kinds, keys, ns, ids=None, sketches=None, rows=None, sets=None) -> pa.RecordBatch:
     none = [None] * len(kinds)
-    columns = zip((kinds, keys, ns, *(none if c is None else c for c in (ids, sketches, rows, sets))), (pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.int64(), pa.binary()), strict=True)
+    columns = zip((kinds, keys, ns, *(none if c is None else c for c in (ids, sketches, rows, sets))), (pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in columns], names=["kind", "key", "n", "doc_id", "sketch", "row_key", "shingles"])
 
 
@@ -136,7 +138,10 @@ def _each(batches):
     """Keys and sets of the rows, in runs."""
     for batch in batches:
         for part in slices(batch):
-            yield part.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+            sets = part.column(1)
+            ends = sets.offsets.to_numpy()
+            flat = sets.values.to_numpy().view(np.uint64)
+            yield part.column(0).to_pylist(), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -244,22 +249,23 @@ def _lists(postings: DataFrame) -> DataFrame:
 
 
 def _wanted(survey: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles) of the sets named by ``keys``, once each. A bitmap of bounded size keeps the other
-    sets from the join's shuffle."""
+    """(key, shingles) of the sets named by ``keys``, once each.
+
+    As long as the keys are few (``KEYS_MOST``) they go to every executor, and the other sets never leave
+    theirs; beyond that a bitmap of bounded size keeps most of the others from the join's shuffle.
+    """
+    sets = _sets_of(survey)
+    if keys.count() <= KEYS_MOST:
+        return sets.join(F.broadcast(keys), "key", "left_semi").dropDuplicates(["key"])
     wanted = KeyFilter(keys, "key")
 
     def run(batches):
-        test, seen = wanted.tester(), set()
+        test = wanted.tester()
         for batch in batches:
-            for part in slices(batch):
-                names = part.column(0).to_numpy()
-                at = [k for k in np.flatnonzero(test(names)).tolist() if names[k] not in seen and not seen.add(names[k])]
-                if at:
-                    found = [np.frombuffer(x, np.int64) for x in part.column(1).take(pa.array(at)).to_pylist()]
-                    ends = np.cumsum([0, *map(len, found)])
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], names=["key", "shingles"])
-
-    return _sets_of(survey).mapInArrow(run, "key long, shingles array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+            for part in slices(batch, 64):
+                yield part.filter(pa.array(test(part.column(0).to_numpy())))
+
+    return sets.mapInArrow(run, "key long, shingles array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def _possible(pairs: DataFrame, survey: DataFrame, t: tuple[int, int]) -> DataFrame:
