@@ -849,6 +849,21 @@ def disguise_files(df: DataFrame, key: str, source: str) -> DataFrame:
     return df.select(key, source).mapInArrow(run, schema)
 
 
+def declarations_of(df: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, name, kind, role): what the files that scan declare, in order of first sight."""
+    text = F.lit(None).cast("string")
+    schema = df.select(F.col(key), text.alias("name"), text.alias("kind"), text.alias("role")).schema
+
+    def run(batches):
+        for batch in batches:
+            scanned = [scan(x or "") for x in batch.column(1).to_pylist()]
+            found = [(i, d.name, d.kind, d.role) for i, tokens in enumerate(scanned) if tokens for d in analyze(tokens).declarations]
+            at, *columns = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=schema.names)
+
+    return df.select(key, source).mapInArrow(run, schema)
+
+
 def shapes_of(df: DataFrame, key: str, source: str) -> DataFrame:
     """(key, part, n): structural counts of files that scan."""
     schema = df.select(F.col(key), F.lit("").alias("part"), F.lit(0).cast("long").alias("n")).schema

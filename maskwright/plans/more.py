@@ -112,6 +112,36 @@ def pooled_names(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query(f"SELECT p_partkey, {shapes.sql(shapes.STEALTH)} AS output FROM part")
+def code_shapes_stealth(spark, sf):
+    """Names from pools, counted by kind and role."""
+    out = code.obfuscate_files(shapes.files(spark, sf), "session", "path", "source", style="stealth")
+    return out.select(F.col("session").cast("long").alias("p_partkey"), "output")
+
+
+@query(f"SELECT * FROM ({shapes.declarations_sql()})")
+def code_declarations(spark, sf):
+    """Kinds and roles of declarations."""
+    return code.declarations_of(shapes.files(spark, sf), "p_partkey", "source")
+
+
+@query(f"SELECT p_partkey, p_partkey % 6 NOT IN (0, 5) AS changed, CASE WHEN p_partkey % 6 IN (0, 5) THEN {shapes.sql(shapes.SOURCES)} ELSE {shapes.sql(shapes.RENAMED)} END AS output FROM part")
+def code_size_guard(spark, sf):
+    """Files of more than eight lines pass through untouched, as do those that don't scan."""
+    out = code.obfuscate_files(shapes.files(spark, sf), "session", "path", "source", max_lines=8)
+    return out.select(F.col("session").cast("long").alias("p_partkey"), "changed", "output")
+
+
+@query("SELECT p_partkey::VARCHAR AS session, unnest(['a.ts', 'b.ts', 'c.ts']) AS path, unnest(['const var_1 = ' || p_size || ';', 'use(var_1, other);', 'const broken = (;']) AS output FROM part")
+def code_known_names(spark, sf):
+    """A name that a file doesn't declare is one of its session's, if the session knows it."""
+    p = T.table(spark, sf, "part", "p_partkey", "p_size")
+    name = F.concat(F.lit("rate"), F.col("p_partkey").cast("string"))
+    rows = [("a.ts", F.concat(F.lit("const "), name, F.lit(" = "), F.col("p_size").cast("string"), F.lit(";"))), ("b.ts", F.concat(F.lit("use("), name, F.lit(", other);"))), ("c.ts", F.lit("const broken = (;"))]
+    files = p.select(F.col("p_partkey").cast("string").alias("session"), F.inline(F.array(*[F.struct(F.lit(a).alias("path"), s.alias("source")) for a, s in rows])))
+    return code.obfuscate_files(files, "session", "path", "source").select("session", "path", "output")
+
+
 # ---- requests and their bounds
 
 _METHOD = "CASE event_type WHEN 'click' THEN 'GET' ELSE 'POST' END"
@@ -197,6 +227,36 @@ def payload_hashes(spark, sf):
     return p.select(F.col("p.sessionLabel").alias("session_label"), F.explode("p.hashes").alias("h")).select("session_label", "h.category", F.col("h.valueHash").alias("value_hash"), F.col("h.timestamp").alias("ts"))
 
 
+_HEAD = "<!doctype html><html lang=''en''><head><meta charset=''utf-8''><title>Team &lt;report&gt;</title></head><body><h1>Team &lt;report&gt;</h1>"
+_CELLS = " || ".join(f"'<div><strong>' || {c} || '</strong><span>{c}</span></div>'" for c in P.CATEGORIES)
+_ROW = " || ".join(f"'<td>' || {c} || '</td>'" for c in P.CATEGORIES)
+
+
+@query(f"""WITH s AS (SELECT {_CATS}, count(DISTINCT session_id) FILTER (category IN {_IN}) AS sessions, min(ts)[1:10] AS a, max(ts)[1:10] AS b FROM ({T.EVENTS_SQL})),
+d AS (SELECT string_agg('<tr><td>' || day || '</td>' || {_ROW} || '</tr>', '' ORDER BY day) AS rows FROM (SELECT ts[1:10] AS day, {_CATS} FROM ({T.EVENTS_SQL}) WHERE category IN {_IN} GROUP BY 1))
+SELECT '{_HEAD}<p>' || sessions || ' sessions, ' || a || ' to ' || b || '</p><div>' || {_CELLS} || '</div><table><thead><tr><th>Date</th>{"".join(f"<th>{c.capitalize()}</th>" for c in P.CATEGORIES)}</tr></thead><tbody>' || rows || '</tbody></table></body></html>' AS page FROM s, d""")
+def audit_report(spark, sf):
+    """The report as a page, its days in order."""
+    e = T.audit_events(spark, sf)
+    return spark.createDataFrame([(audit.render_report(audit.summarize(e), audit.timeline(e), "Team <report>"),)], "page string")
+
+
+@query("""SELECT unnest(['fixture-0', 'fixture-1', 'fixture-2']) AS path, unnest(['tuning', 'tuning', 'held-out']) AS split""")
+def fixture_manifest(spark, sf):
+    """A manifest written, read and unfolded."""
+    path = _folder(spark, "manifest")
+    spark.createDataFrame([(["fixture-0", "fixture-1"], ["fixture-2"])], "tuning array<string>, heldOut array<string>").write.json(path)
+    return evaluate.fixtures(logs.read_manifest(spark, path))
+
+
+@query("SELECT 'fixture-' || doc_id % 8 AS fixture, count(*) AS runs FROM labels GROUP BY 1")
+def trial_artifacts(spark, sf):
+    """Trials written to a folder for each fixture and read again."""
+    path = _folder(spark, "trials")
+    logs.write_trials(T.trials(spark, sf).withColumnRenamed("fixture_path", "fixture"), path)
+    return spark.read.schema("status string, suspicious boolean, fixture string").json(path).groupBy("fixture").agg(F.count(F.lit(1)).alias("runs"))
+
+
 @query("SELECT user_id, sha256('maskwright-session' || chr(0) || 'token-' || user_id) AS digest, user_id % 3 = 0 AS is_authorized FROM (SELECT DISTINCT user_id FROM events)")
 def session_digests(spark, sf):
     """Digests of tokens in a domain of their own, and which tokens are the expected one."""

@@ -198,6 +198,54 @@ SHAPES = (
     (),
 )
 
+#: The same in the style that reads like other code.
+STEALTH = (
+    '// keeps this path consistent\n'
+    'interface LedgerShape { numberCountLedger: number; booleanCountLedger: boolean }\n'
+    'export function resolveLedger(rows: LedgerShape[], rate: number) {\n'
+    '  let accumulatorFirstLedger = 0;\n'
+    '  for (const row of rows) { accumulatorFirstLedger += row.numberCountLedger * rate; }\n'
+    '  const firstLedger = rows.map(total => total.numberCountLedger * {N});\n'
+    '  return { total: accumulatorFirstLedger, twice: firstLedger };\n'
+    '}\n',
+    '/* normalizes input\n'
+    '*/\n'
+    'const firstLedger = {N};\n'
+    'class LedgerStore {\n'
+    "  add(entry) { if (entry) /it's/.test(entry); return `paid ${firstLedger} of {T}`; }\n"
+    '}\n'
+    'const secondLedger = new LedgerStore();\n',
+    "type LedgerShape = 'openLedger' | 'closedLedger';\n"
+    'const firstLedger = "messageLedger";\n'
+    'const secondLedger = {L};\n'
+    'function resolveLedger(mode: LedgerShape) {\n'
+    "  if (mode === 'openLedger') { return secondLedger; }\n"
+    '  return {N};\n'
+    '}\n',
+    "import { load as fetch{W} } from './part{W}';\n"
+    'const firstLedger = {N};\n'
+    'export async function resolveLedger({ id, key }) {\n'
+    '  try { const secondLedger = await fetch{W}(id); return { rate: firstLedger, value: secondLedger, key }; }\n'
+    '  catch (error) { console.log(error); return null; }\n'
+    '}\n',
+    'enum Plan{W} { Gold{W} = {N}, Basic }\n'
+    'function resolveLedger<TItem>(items: TItem[], other = rate => rate + 1): TItem {\n'
+    '  const firstLedger = items.length;\n'
+    '  return items[other(firstLedger) - 2];\n'
+    '}\n',
+    'const broken{W} = (;\n',
+)
+
+#: Name, kind and role of what a file declares.
+DECLARATIONS = (
+    [('Row{W}', 'type', None), ('amount', 'property', 'number'), ('ready', 'property', 'boolean'), ('sum{W}', 'function', None), ('total', 'variable', 'accumulator'), ('twice', 'variable', 'passthrough')],
+    [('limit{W}', 'variable', 'passthrough'), ('Book{W}', 'class', None), ('book', 'variable', 'passthrough')],
+    [('Mode{W}', 'type', None), ('note{W}', 'variable', 'passthrough'), ('size', 'variable', 'passthrough'), ('pick{W}', 'function', None)],
+    [('rate', 'variable', 'passthrough'), ('run{W}', 'function', None), ('value', 'variable', 'passthrough')],
+    [('first', 'function', None), ('rate', 'variable', 'passthrough')],
+    [],
+)
+
 
 def _filled(texts: tuple[str, ...], key: Column, parts: dict[str, Column]) -> Column:
     text = F.get(F.array(*[F.lit(x) for x in texts]), F.pmod(key, F.lit(len(texts))).cast("int"))
@@ -236,3 +284,15 @@ def hidden_sql() -> str:
             texts[k] = value
             rows.append(f"SELECT p_partkey, p_brand, '{category}' AS category, {sql(tuple(texts))} AS value FROM part WHERE p_partkey % {len(HIDDEN)} = {k}")
     return " UNION ALL ".join(rows)
+
+
+def declarations_sql() -> str:
+    """SQL of (p_partkey, name, kind, role), a row for each declaration."""
+    rows = []
+    for k, found in enumerate(DECLARATIONS):
+        for name, kind, role in found:
+            texts = [""] * len(DECLARATIONS)
+            texts[k] = name
+            role_sql = f"'{role}'" if role else "NULL"
+            rows.append(f"SELECT p_partkey, {sql(tuple(texts))} AS name, '{kind}' AS kind, {role_sql} AS role FROM part WHERE p_partkey % {len(DECLARATIONS)} = {k}")
+    return " UNION ALL ".join(rows)

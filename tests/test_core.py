@@ -533,3 +533,15 @@ def test_stealth_names_count_by_role():
     names = code.Names("stealth")
     got = [names.named(n, "variable", r, set()) for n, r in (("a", "clamped"), ("b", "clamped"), ("c", "boolean"), ("d", None))]
     assert got == ["clampedFirstLedger", "clampedSecondLedger", "booleanFirstLedger", "firstLedger"]
+
+
+def test_nothing_is_sent_that_was_not_recorded(spark, caplog):
+    df, calls = spark.range(1), []
+
+    def broken(_):
+        raise OSError("full")
+
+    logs.record_then_sync(df, broken, lambda _: calls.append("sent"))
+    assert not calls and "aren't sent" in caplog.text
+    logs.record_then_sync(df, lambda _: calls.append("recorded"), broken)
+    assert calls == ["recorded"] and "weren't sent" in caplog.text
