@@ -52,3 +52,9 @@ def drop_staged(*frames: DataFrame) -> None:
             continue
         target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are done. It learns of them when the
+    driver collects its garbage, which an idle driver puts off while executors' disks fill."""
+    spark.sparkContext._jvm.System.gc()
