@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import KeyFilter, drop_staged, read_table, salted_join, staged
+from .shared import KeyFilter, drop_staged, read_table, release_shuffles, salted_join, small_batches, staged
 from .shingles import mix, set_key, shingle_set
 from .tokens import slices
 
@@ -53,7 +53,7 @@ BEFORE = 6
 #: Keys of sets that are broadcast, at most (8 MB).
 KEYS_MOST = 1 << 20
 #: Shingles counted at once by a worker.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 _PAIR_DOMAIN = np.uint64(0xD1B54A32D192ED03)
 
@@ -374,6 +374,11 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: tup
     ``row_key`` is xxhash64 of id and text; ``stays`` is true for one row key of each component, that
     of the least id (null ids last), and for all rows without words.
     """
+    with small_batches(df.sparkSession):
+        return _linked(df, id_col, text_col, t)
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, t: tuple[int, int]) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = staged(_survey(docs.withColumn("row_key", F.xxhash64("doc_id", "text")), t), "survey")
     sizes = {r["key"]: r["c"] for r in survey.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).collect()}
@@ -387,7 +392,9 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: tup
     met = exact.filter(F.col("c") < HOT_LEAST).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1)), F.lit(0))).first()[0]
     boundary = choose_boundary(sizes, met / max(1, entries), t)
     drop_staged(exact)
+    release_shuffles(df.sparkSession)
     lists = staged(_lists(_postings(survey, hot, boundary, t)), "lists")
+    release_shuffles(df.sparkSession)
 
     tested = comps = None
     for k in range(ROUNDS):
@@ -397,6 +404,7 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: tup
         links = _verified(stars, survey, t)
         tested = stars if tested is None else tested.unionByName(stars)
         drop_staged(live)
+        release_shuffles(df.sparkSession)
         if not links.limit(1).count():
             break
         comps = _merged(comps, links)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import drop_staged, shared_root, staged
+from ..sources.staging import drop_staged, release_shuffles, shared_root, staged
 
 #: A word is a run of bytes other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "WORD", "KeyFilter", "drop_staged", "read_table", "salted_join", "shared_root", "staged"]
+__all__ = ["SPACE", "WORD", "KeyFilter", "drop_staged", "read_table", "release_shuffles", "salted_join", "shared_root", "small_batches", "staged"]
 
 #: Keys that hold over 1 / HOT_SHARE of all rows are hot, so there are fewer than HOT_SHARE of them;
 #: each is dealt over SALTS tasks.
@@ -29,6 +31,19 @@ def salted_join(rows: DataFrame, table: DataFrame, on: str, counts: DataFrame, *
     return dealt.join(copies, [on, "__salt"]).drop("__salt")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Arrow batches of so many rows for what runs inside: rows with whole sets are large, and several
+    batches of each task are in memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
