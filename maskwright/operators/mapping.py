@@ -46,7 +46,8 @@ def pooled_name(kind: Column, n: Column, theme: int = 0) -> Column:
 
 
 def first_seen(names: DataFrame, session: str, kind: str, name: str, position: str) -> DataFrame:
-    """Distinct names of each session and kind with a number in order of first sight."""
+    """Distinct names of each session and kind with a number in order of first sight. A session's names
+    are numbered by one task; its capacity (10,000 entries by default) bounds them."""
     first = names.groupBy(session, kind, name).agg(F.min(position).alias("first_pos"), F.max(position).alias("last_pos"))
     w = Window.partitionBy(session, kind).orderBy("first_pos", name)
     return first.withColumn("number", F.row_number().over(w).cast("long"))
@@ -98,7 +99,7 @@ def within_capacity(df: DataFrame, session: str, inserted: str, tie: str, capaci
 
 def path_aliases(paths: DataFrame, session: str, path: str, position: str, directory: str | None = None) -> DataFrame:
     """Neutral aliases: ``source`` with the extension for files, ``workspace`` for folders; the second
-    and later of one alias are numbered."""
+    and later of one alias are numbered, by one task for each session, whose capacity bounds its paths."""
     first = paths.groupBy(session, path, *([directory] if directory else [])).agg(F.min(position).alias("first_pos"))
     ext = X.extension(F.col(path))
     is_dir = F.col(directory) if directory else F.lit(False)

@@ -228,12 +228,6 @@ def path_aliases(spark, sf):
     return mapping.path_aliases(rows, "session", "path", "p_partkey", "is_dir").select("session", "path", "alias")
 
 
-@query()
-def path_discovery(spark, sf):
-    d = T.table(spark, sf, "pages", "page_id", "html")
-    return d.select("page_id", F.explode(mapping.discovered_paths(F.col("html"))).alias("path"))
-
-
 _KNOWN = ("the", "that", "and", "with")
 
 
