@@ -56,5 +56,7 @@ def drop_staged(*frames: DataFrame) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are done. It learns of them when the
-    driver collects its garbage, which an idle driver puts off while executors' disks fill."""
+    driver collects its garbage, which an idle driver puts off while executors' disks fill. The last
+    plan is still held when its job ends, so a job of one row takes its place first."""
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
