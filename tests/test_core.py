@@ -313,6 +313,27 @@ def test_bodies_of_a_session(spark):
     assert coherent[2]["error"] == "not json" and "feeOf" not in coherent[0]["output"].replace("grep feeOf", "").replace("feeOf found", "")
 
 
+def test_rows_of_a_session_do_not_grow_with_it(spark):
+    """Each request's mapping has its own names; a session goes in order of its numbers over many batches."""
+    from maskwright.operators import requests as R
+
+    write = lambda i: json.dumps({"messages": [{"role": "assistant", "content": [{"type": "tool_use", "id": "a", "name": "Write", "input": {"file_path": f"{i}.ts", "content": f"const own{i} = {i};\nfunction shared(x) {{ return own{i}; }}\n"}}]}]})
+    df = spark.createDataFrame([(s, i, write(i)) for s in ("s", "t", None) for i in range(39, -1, -1)], "session string, number long, body string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for mode in ("pool", "coherent"):
+            out = R.transform_bodies(df, "session", "number", mode=mode)
+            rows = out.collect()
+            assert len(rows) == 120 and all(r["error"] is None and set(r["mapping"]) <= {f"own{r['number']}", "shared", "x"} for r in rows)
+            assert all(r["mapping"][f"own{r['number']}"] in r["output"] for r in rows)
+            if mode == "pool":
+                assert all(r["mapping"][f"own{r['number']}"] == f"var_{code._base36(r['number'] + 1)}" and r["mapping"]["shared"] == "func_1" for r in rows)
+                assert R.session_names(out, "session").count() == 3 * 41
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def until(spark, q, table, rows, seconds=90):
     """Waits for rows: with timers by the clock a query never runs out of batches."""
     end = time.time() + seconds
