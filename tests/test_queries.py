@@ -62,3 +62,16 @@ def test_roundtrip_replaces_names_too(spark, monkeypatch):
     monkeypatch.setattr(pii, "anonymize", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
     assert all(r["is_same"] for r in QUERIES["pii_roundtrip"](spark, SF).collect())
     assert "PERSON" in {r[0] for r in made[0][0].select(F.explode("spans.type")).distinct().collect()}
+
+
+@pytest.mark.parametrize("name", ["request_dashboard"])
+def test_requests_carry_their_own_names(spark, monkeypatch, name):
+    """What a query moves for a request doesn't grow with the requests before it."""
+    from pyspark.sql import functions as F
+
+    from maskwright.operators import requests
+
+    made, real = [], requests.transform_bodies
+    monkeypatch.setattr(requests, "transform_bodies", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    assert QUERIES[name](spark, SF).count()
+    assert 6 <= made[0].agg(F.max(F.size("mapping"))).first()[0] < 10
