@@ -64,7 +64,7 @@ def test_roundtrip_replaces_names_too(spark, monkeypatch):
     assert "PERSON" in {r[0] for r in made[0][0].select(F.explode("spans.type")).distinct().collect()}
 
 
-@pytest.mark.parametrize("name", ["request_dashboard", "request_events"])
+@pytest.mark.parametrize("name", ["request_dashboard", "request_events", "request_stats"])
 def test_requests_carry_their_own_names(spark, monkeypatch, name):
     """What a query moves for a request doesn't grow with the requests before it."""
     from pyspark.sql import functions as F
