@@ -42,11 +42,12 @@ def restore_html(page: Column, pairs: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(F.startswith(x, F.lit("<")), x).otherwise(restore_tokens(x, pairs))), "")
 
 
-def name_spans(text: Column) -> Column:
+def name_spans(text: Column, exact: bool = False) -> Column:
     """Likely names of persons and organizations: runs of capitalized words.
 
     Leading stopwords go while more than one word is left; acronyms go; a single word stays only if
-    it is a known organization.
+    it is a known organization. Names are listed as if a single space stood between their words; with
+    ``exact`` bounds and value are those of the text.
     """
     stop = F.array(*[F.lit(w) for w in P.STOPWORDS])
     known = F.array(*[F.lit(w) for w in P.KNOWN_ORGS])
@@ -54,28 +55,30 @@ def name_spans(text: Column) -> Column:
 
     def stripped(s: Column) -> Column:
         words = F.split(s["value"], r"\s+")
-        zero = F.struct(F.lit(False).alias("done"), F.lit(0).alias("n"), F.lit(0).alias("shift"))
+        zero = F.struct(F.lit(False).alias("done"), F.lit(0).alias("n"), F.lit(0).alias("shift"), s["value"].alias("rest"))
 
         def step(acc: Column, w: Column) -> Column:
             go = ~acc["done"] & (acc["n"] < F.size(words) - 1) & F.array_contains(stop, w)
-            return F.when(go, F.struct(F.lit(False).alias("done"), (acc["n"] + 1).alias("n"), (acc["shift"] + F.length(w) + 1).alias("shift"))).otherwise(
-                F.struct(F.lit(True).alias("done"), acc["n"].alias("n"), acc["shift"].alias("shift"))
+            rest = F.regexp_replace(acc["rest"], r"^\S+\s+", "")
+            return F.when(go, F.struct(F.lit(False).alias("done"), (acc["n"] + 1).alias("n"), (acc["shift"] + F.length(w) + 1).alias("shift"), rest.alias("rest"))).otherwise(
+                F.struct(F.lit(True).alias("done"), acc["n"].alias("n"), acc["shift"].alias("shift"), acc["rest"].alias("rest"))
             )
 
         head = F.aggregate(words, zero, step)
         kept = F.slice(words, head["n"] + 1, F.size(words))
         phrase = F.array_join(kept, " ")
         start = s["start"] + head["shift"]
-        return F.struct(start.alias("start"), (start + F.length(phrase)).alias("end"), phrase.alias("value"), F.size(kept).alias("n"))
+        own = (s["end"] - F.length(head["rest"]), s["end"], head["rest"]) if exact else (start, start + F.length(phrase), phrase)
+        return F.struct(own[0].alias("start"), own[1].alias("end"), own[2].alias("value"), phrase.alias("phrase"), F.size(kept).alias("n"))
 
     # a single word loses nothing and stays only if it is known: most phrases end here
     likely = F.filter(X.find_spans(text, P.CAPITALIZED), lambda s: F.rlike(s["value"], F.lit(r"\s")) | F.array_contains(known, s["value"]))
     found = F.transform(likely, stripped)
-    named = F.filter(found, lambda s: ~F.rlike(s["value"], F.lit(P.ACRONYM)) & ((s["n"] > 1) | F.array_contains(known, s["value"])))
+    named = F.filter(found, lambda s: ~F.rlike(s["phrase"], F.lit(P.ACRONYM)) & ((s["n"] > 1) | F.array_contains(known, s["phrase"])))
 
     def classed(s: Column) -> Column:
-        last = F.regexp_replace(F.element_at(F.split(s["value"], " "), -1), r"\.$", "")
-        org = F.array_contains(suffixes, last) | ((s["n"] == 1) & F.array_contains(known, s["value"]))
+        last = F.regexp_replace(F.element_at(F.split(s["phrase"], " "), -1), r"\.$", "")
+        org = F.array_contains(suffixes, last) | ((s["n"] == 1) & F.array_contains(known, s["phrase"]))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.when(org, "ORGANIZATION").otherwise("PERSON").alias("type"))
 
     return F.transform(named, classed)
@@ -84,7 +87,7 @@ def name_spans(text: Column) -> Column:
 def all_spans(text: Column) -> Column:
     """Pattern spans, names that overlap none of them, and of all these the leftmost-longest."""
     regex = regex_spans(text)
-    names = F.filter(name_spans(text), lambda s: ~F.exists(regex, lambda m: (s["start"] < m["end"]) & (s["end"] > m["start"])))
+    names = F.filter(name_spans(text, exact=True), lambda s: ~F.exists(regex, lambda m: (s["start"] < m["end"]) & (s["end"] > m["start"])))
     return X.resolve_overlaps(F.concat(regex, names))
 
 
@@ -92,7 +95,7 @@ def with_spans(df: DataFrame, text: str = "text", spans: Column | None = None) -
     """``df`` with the column ``spans``. Each step is a column of its own, so patterns run once."""
     if spans is not None:
         return df.withColumn("spans", spans)
-    out = df.withColumn("__regex", regex_spans(F.col(text))).withColumn("__names", name_spans(F.col(text)))
+    out = df.withColumn("__regex", regex_spans(F.col(text))).withColumn("__names", name_spans(F.col(text), exact=True))
     names = F.filter("__names", lambda s: ~F.exists(F.col("__regex"), lambda m: (s["start"] < m["end"]) & (s["end"] > m["start"])))
     return out.withColumn("spans", X.resolve_overlaps(F.concat("__regex", names))).drop("__regex", "__names")
 
@@ -102,8 +105,13 @@ def span_rows(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
     return df.select(key, F.posexplode(spans).alias("pos", "s")).select(key, "pos", "s.start", "s.end", "s.value", "s.type")
 
 
+def spelled(kind: Column, value: Column) -> Column:
+    """The value of an entity; a name is one whatever white space stands between its words."""
+    return F.when(kind.isin("PERSON", "ORGANIZATION"), F.regexp_replace(value, r"\s+", " ")).otherwise(value)
+
+
 def entity_key(kind: Column, value: Column) -> Column:
-    return F.concat(kind, F.lit(":"), F.lower(F.trim(value)))
+    return F.concat(kind, F.lit(":"), F.lower(F.trim(spelled(kind, value))))
 
 
 def mint(spans: DataFrame, key: str) -> DataFrame:
@@ -114,7 +122,7 @@ def mint(spans: DataFrame, key: str) -> DataFrame:
     ``is_ambiguous`` says so, and that token isn't restored without provenance.
     """
     first = spans.groupBy(entity_key(F.col("type"), F.col("value")).alias("entity_key"), "type").agg(F.min(F.struct(F.col(key), -F.col("start"), F.col("value"))).alias("f"))
-    flat = first.select("entity_key", "type", F.col("f")[key].alias("first_key"), F.col("f.col2").alias("back"), F.col("f.value").alias("real"))
+    flat = first.select("entity_key", "type", F.col("f")[key].alias("first_key"), F.col("f.col2").alias("back"), spelled(F.col("type"), F.col("f.value")).alias("real"))
     ordered = numbered(flat, "type", "first_key", "back", "entity_key", column="__n")
     starts = ordered.groupBy("type").agg(F.min("__n").alias("__s"))  # a row for each type
     out = ordered.join(F.broadcast(starts), "type").withColumn("number", F.col("__n") - F.col("__s") + 1)

@@ -313,6 +313,17 @@ def test_bodies_of_a_session(spark):
     assert coherent[2]["error"] == "not json" and "feeOf" not in coherent[0]["output"].replace("grep feeOf", "").replace("feeOf found", "")
 
 
+def test_names_over_line_breaks_come_back(spark):
+    """Spans hold the text's own white space; a name is one entity whatever stands between its words."""
+    rows = [(1, "Dear  Anna \n Berg, The\tNova  Holdings met Anna Berg."), (2, "De De\nDe De\r\nDe De"), (3, "The\n\nMaria\tGomez")]
+    out, made = pii.anonymize(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    got = {r["doc_id"]: r for r in out.withColumn("back", pii.restore_exact(out)).collect()}
+    assert {k: r["back"] for k, r in got.items()} == dict(rows)
+    assert all(r["text"][x["start"] : x["end"]] == x["value"] for r in got.values() for x in r["spans"])
+    assert got[1]["sanitized_text"] == "Dear  Candidate_Alpha, The\tCompany_1 met Candidate_Alpha." and got[3]["sanitized_text"].startswith("The\n\nCandidate_")
+    assert {r["real"] for r in made.collect()} == {"Anna Berg", "Nova Holdings", "De De De De", "De De", "Maria Gomez"}
+
+
 def test_rows_of_a_session_do_not_grow_with_it(spark):
     """Each request's mapping has its own names; a session goes in order of its numbers over many batches."""
     from maskwright.operators import requests as R
