@@ -313,6 +313,17 @@ def test_bodies_of_a_session(spark):
     assert coherent[2]["error"] == "not json" and "feeOf" not in coherent[0]["output"].replace("grep feeOf", "").replace("feeOf found", "")
 
 
+def test_disguises_are_dealt_over_tasks(spark, monkeypatch):
+    """One small partition of many files is read by all tasks; a file is scanned once, as is its disguise."""
+    made, real = [], code.scan
+    monkeypatch.setattr(code, "scan", lambda x: made.append(x) or real(x))
+    assert code.disguise(SOURCE).valid and len(made) == 2
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, SOURCE) for i in range(64)], "id long, source string").coalesce(1)
+    out = code.disguise_files(df, "id", "source")
+    assert out.select("id", F.spark_partition_id().alias("p")).agg(F.count_distinct("id"), F.count_distinct("p")).first()[:] == (64, 4)
+
+
 def test_names_over_line_breaks_come_back(spark):
     """Spans hold the text's own white space; a name is one entity whatever stands between its words."""
     rows = [(1, "Dear  Anna \n Berg, The\tNova  Holdings met Anna Berg."), (2, "De De\nDe De\r\nDe De"), (3, "The\n\nMaria\tGomez")]
