@@ -2,16 +2,18 @@
 
 Lines are parsed as log messages, with A-Z in lower case: tokens that hold a digit, an at sign or
 ``://`` are variable fields; a line of such fields alone is taken as it is spelled. The tree has a fixed
-depth: a line goes down by its number of tokens, then by its leading ``DEPTH`` tokens, to a leaf; a leaf
-of more than ``LEAF_MOST`` different lines goes one token deeper, until none is so big. In a leaf, lines
-that agree in ``SIMILAR`` of their places become one template whose other places are variable too. A
+depth: a line goes down by its number of tokens, then by its leading ``DEPTH`` tokens, to a leaf. The
+depth doesn't depend on the input's size; only a caller who gives ``leaf_most`` has bigger leaves go one
+token deeper, until none is so big. In a leaf, lines that agree in ``SIMILAR`` of their places become one template whose other places are variable too. A
 template found in enough documents recurs, and recurring templates are dropped from all documents but
 the first (``keep_first``), so what many documents share stays in the corpus once.
 
 Lines that are equal after masking are one template without any comparison; only leaves that hold
 different lines compare them, in the order of their hashes, so the result doesn't depend on how the
 input is dealt out. A leaf is streamed: a task holds the leaf's templates, not its lines, and finds the
-templates that a line can join by blocks of places, one of which must agree in full.
+templates that a line can join by blocks of places, one of which must agree in full. So lines that no
+chain of shared blocks connects can't meet in a template, and a leaf of more than ``LEAF_HELD`` different
+lines is dealt over tasks by these chains, which changes no result.
 
 With ``spare_copies`` documents whose words lie to ``COPY_SHARE`` or more in recurring lines are copies,
 a case for a join of near copies: they don't count as documents that share a line. What copies alone share
@@ -27,6 +29,7 @@ empty table gives an empty result. Extra columns stay as they are; helper column
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import components
 from .shared import KeyFilter, drop_staged, read_table, salted_join, staged
 from .shingles import PART, mix, range_hashes, split_words
 from .tokens import batches_of, slices
 
 DEPTH = 3
 SIMILAR = 0.8
-#: Different lines of a leaf beyond which it is split by its next token.
-LEAF_MOST = 20_000
+#: Different lines of a leaf beyond which it is dealt over tasks; results don't depend on it.
+LEAF_HELD = 20_000
 #: Documents in which a template of equal lines, and one with generalised places, recurs.
 MIN_DOCS, MIN_DOCS_GENERAL = 2, 3
 #: Share of a document's words in recurring lines from which it is a copy.
@@ -130,6 +134,13 @@ def places(n: int, similar: float = SIMILAR) -> int:
     return int(np.ceil(similar * n - 1e-9))
 
 
+def blocks(row: np.ndarray, similar: float, lead: int = 0) -> list[tuple[int, bytes]]:
+    """The places of a line after the first ``lead`` in one block more than a line may differ in from its
+    template: the block's start and what it holds."""
+    cuts = np.linspace(min(lead, len(row)), len(row), len(row) - places(len(row), similar) + 2).astype(int)
+    return [(int(a), row[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Leaf:
     """Templates of one leaf, grown line by line.
 
@@ -138,8 +149,8 @@ class Leaf:
     block can't agree there and is met by another.
     """
 
-    def __init__(self, similar: float):
-        self.similar = similar
+    def __init__(self, similar: float, lead: int = 0):
+        self.similar, self.lead = similar, lead  # the leading places agree in all lines of a leaf
         self.rows: list[np.ndarray] = []
         self.ids: list[int] = []
         self.by_block: dict[tuple[int, bytes], list[int]] = {}
@@ -147,9 +158,8 @@ class Leaf:
     def add(self, key: int, row: np.ndarray) -> int:
         """The template that takes the line in: the most alike, the oldest of equals."""
         least = places(len(row), self.similar)
-        cuts = np.linspace(0, len(row), len(row) - least + 2).astype(int)
-        blocks = [(int(a), row[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        near = sorted({k for x in blocks for k in self.by_block.get(x, ())})
+        own = blocks(row, self.similar, self.lead)
+        near = sorted({k for x in own for k in self.by_block.get(x, ())})
         if near:
             same = (np.stack([self.rows[k] for k in near]) == row).sum(axis=1)
             at = int(same.argmax())
@@ -157,7 +167,7 @@ class Leaf:
                 found = self.rows[near[at]]
                 found[found != row] = 0  # no token's place any more
                 return self.ids[near[at]]
-        for x in blocks:
+        for x in own:
             self.by_block.setdefault(x, []).append(len(self.rows))
         self.rows.append(row.copy())
         self.ids.append(key)
@@ -182,7 +192,7 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, place int, line long, leaf long, tokens int")
 
 
-def _templates(docs: DataFrame, kinds: DataFrame, depth: int, similar: float, leaf_most: int) -> DataFrame:
+def _templates(docs: DataFrame, kinds: DataFrame, depth: int, similar: float, leaf_most: int | None) -> DataFrame:
     """(line, template) of lines in leaves that hold different lines."""
     alike = kinds.filter(F.col("tokens") > F.ceil(F.lit(similar) * F.col("tokens") - 1e-9))
     shared = alike.groupBy("leaf").count().filter("count > 1").select("leaf")
@@ -206,21 +216,22 @@ def _templates(docs: DataFrame, kinds: DataFrame, depth: int, similar: float, le
 
     found = staged(docs.mapInArrow(tokens, "line long, leaf long, tokens binary").join(wanted, "line", "left_semi").dropDuplicates(["line"]), "leaf-tokens")
     deeper = depth
-    while big := _big_leaves(found, leaf_most, deeper):
+    while leaf_most and (big := _big_leaves(found, leaf_most, deeper)):
         down = F.xxhash64("leaf", F.substring("tokens", 8 * deeper + 1, 8))
         split = found.join(big, "leaf", "left").withColumn("leaf", F.when(F.col("big"), down).otherwise(F.col("leaf"))).select(found.columns)
         split, before = staged(split, "leaf-tokens"), found
         drop_staged(before)
         found, deeper = split, deeper + 1
+    found = _dealt(found, depth, similar)
 
     def grow(batches):
-        leaf, held = None, Leaf(similar)
+        leaf, held = None, Leaf(similar, depth)
         for batch in batches:
             keys, leaves, rows = (batch.column(i).to_pylist() for i in range(3))
             own = []
             for k, where, row in zip(keys, leaves, rows, strict=True):
                 if where != leaf:
-                    leaf, held = where, Leaf(similar)
+                    leaf, held = where, Leaf(similar, depth)
                 own.append(held.add(k, np.frombuffer(row, np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.int64())], names=["line", "template"])
 
@@ -229,6 +240,34 @@ def _templates(docs: DataFrame, kinds: DataFrame, depth: int, similar: float, le
     return grown
 
 
+def _dealt(found: DataFrame, depth: int, similar: float) -> DataFrame:
+    """Lines whose leaf holds more than ``LEAF_HELD`` get a leaf of their own with those that chains of shared
+    blocks connect them to. A line shares a block with the first line of its template, so no template is cut."""
+    big = found.groupBy("leaf").count().filter(F.col("count") > LEAF_HELD).select("leaf", F.lit(True).alias("big"))
+    if not big.limit(1).count():
+        return found
+
+    def cut(batches):
+        for batch in batches:
+            lines, keys = [], []
+            for line, leaf, row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for start, words in blocks(np.frombuffer(row, np.uint64), similar, depth):
+                    lines.append(line)
+                    keys.append(int.from_bytes(hashlib.blake2b(b"%d %d %d " % (leaf, len(row), start) + words, digest_size=8).digest(), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(keys, pa.int64())], names=["line", "block"])
+
+    held = found.join(F.broadcast(big), "leaf", "left")  # fewer than a row for each LEAF_HELD lines
+    shared = staged(held.filter("big").select("line", "leaf", "tokens").mapInArrow(cut, "line long, block long"), "blocks")
+    first = shared.groupBy("block").agg(F.min("line").alias("a"), F.max("line").alias("z"), F.count(F.lit(1)).alias("n")).filter("a <> z")
+    counts = staged(first, "first")
+    links = salted_join(shared, counts.select("block", "a"), "block", counts.select("block", "n"), "line").filter("a <> line").select("a", F.col("line").alias("b"))
+    part = components(links).withColumnRenamed("node", "line")
+    leaf = F.when(F.col("big"), F.xxhash64("leaf", F.coalesce("comp", "line"))).otherwise(F.col("leaf"))
+    out = staged(held.join(part, "line", "left").withColumn("leaf", leaf).select(found.columns), "leaf-tokens")
+    drop_staged(found, shared, counts)
+    return out
+
+
 def _big_leaves(found: DataFrame, leaf_most: int, deeper: int) -> DataFrame | None:
     """Leaves of too many lines that have a token at place ``deeper``; none is None. A table of lines
     holds few leaves so big, one for each ``leaf_most`` lines at most."""
@@ -246,7 +285,7 @@ def _recurring(by_doc: DataFrame, min_docs: int, min_docs_general: int) -> DataF
 
 def recurring_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, min_docs_general: int = MIN_DOCS_GENERAL,
-    keep_first: bool = True, spare_copies: bool = False, leaf_most: int = LEAF_MOST,
+    keep_first: bool = True, spare_copies: bool = False, leaf_most: int | None = None,
 ) -> DataFrame:
     """(key, places): for each document with lines to drop, their places in ascending order. ``key``
     is xxhash64 of id and text."""

@@ -698,6 +698,28 @@ def test_big_leaves_are_split(spark):
     assert len(lines) == 96 and text(leaf_most=6) == text(depth=5) and text(leaf_most=24) == text(depth=4)
 
 
+def test_templates_do_not_depend_on_the_leafs_size(spark):
+    """Lines that differ in their fourth token are one template, however many others lie in their leaf."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"the one line {w} goes on and on here now\nmine {w}") for i, w in enumerate(("red", "green", "blue"))]
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    others = ["the one line " + " ".join(map(word, x)) for x in rng.integers(0, 400_000, (20_100, 7)).tolist()]
+    text = lambda rows: {r["doc_id"]: r["text"] for r in L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id < 3").collect()}
+    few = text(rows)
+    assert few[0] == rows[0][1] and few[1] == "mine green" and few[2] == "mine blue"
+    assert text([*rows, (3, "\n".join(others))]) == few
+
+
+def test_leaves_are_dealt_out_without_a_change(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, "\n".join("a b c " + " ".join(map(str.strip, map(chr, 97 + rng.integers(0, 3 + i % 5, n)))) for n in (2, 3, 7, 7, 12))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = lambda: {r["doc_id"]: r["text"] for r in L.drop_lines(df).collect()}
+    whole = text()
+    monkeypatch.setattr(L, "LEAF_HELD", 1)
+    assert text() == whole and whole != dict(rows)
+
+
 def test_copies_are_left_to_the_join(spark):
     """Copies keep what they alone share; a notice that other documents share goes from copies as well."""
     own = lambda k: "\n".join(" ".join(f"{c}{chr(97 + k)}{w}" for w in ("ka", "lo", "mi", "nu")) for c in "abcdefgh")
