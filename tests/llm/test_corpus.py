@@ -710,6 +710,19 @@ def test_templates_do_not_depend_on_the_leafs_size(spark):
     assert text([*rows, (3, "\n".join(others))]) == few
 
 
+def test_line_stage_does_not_depend_on_the_leafs_size(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    text = lambda n: " ".join(map(word, rng.integers(0, 400_000, n).tolist()))
+    rows = [(i, f"the one line {w} goes on and on here now\n{text(30)}") for i, w in enumerate(("red", "green", "blue", "white"))]
+    others = [(4, "\n".join("the one line " + text(7) for _ in range(20_100)))]
+    stage = lambda rows: {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").filter("doc_id < 4").collect()}
+    few = stage(rows)
+    assert few == {i: t if i == 0 else t.split("\n")[1] for i, t in rows} and stage(rows + others) == few
+
+
 def test_leaves_are_dealt_out_without_a_change(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, "\n".join("a b c " + " ".join(map(str.strip, map(chr, 97 + rng.integers(0, 3 + i % 5, n)))) for n in (2, 3, 7, 7, 12))) for i in range(120)]
