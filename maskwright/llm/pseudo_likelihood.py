@@ -51,6 +51,8 @@ TABLE = 1 << 20
 COUNTED = 1_000_000
 #: Tokens scored, or made ready for training, at once.
 SCORED = 1 << 15
+#: Of these, how many a score works on together; what it holds of them stays in a core's cache.
+AT_ONCE = 1 << 12
 
 #: The last row of each output layer is its bias.
 _SHAPES = {
@@ -61,10 +63,11 @@ _SIZES = {k: int(np.prod(v)) for k, v in _SHAPES.items()}
 
 
 def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of each row less the row's maximum, in place, and the sums of the rows."""
-    z -= z.max(axis=1, keepdims=True)
+    """exp of each column less the column's maximum, in place, and the sums of the columns. Columns are long
+    rows in memory, so that a step goes over all targets at once."""
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    return z, z.sum(axis=1, keepdims=True)
+    return z, z.sum(axis=0)
 
 
 @dataclass
@@ -100,22 +103,22 @@ class Network:
         e = np.take(self.embedding, contexts.reshape(-1), axis=0).reshape(n, -1)  # slots side by side
         h = np.ones((n, HIDDEN + 1), np.float32)
         np.tanh(e @ self.slots + self.bias, out=h[:, :HIDDEN])
-        dg, total = _exponentials(h @ self.groups)
+        dg, total = _exponentials(self.groups.T @ h.T)  # a column for each target
         dg /= total
-        dg[row, group] -= 1
-        grad.groups[:] = h.T @ dg
-        dh = dg @ self.groups.T
+        dg[group, row] -= 1
+        np.matmul(h.T, dg.T, out=grad.groups)
+        dh = dg.T @ self.groups.T
         ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
         runs = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
-        dm = np.empty((n, MEMBERS), np.float32)
+        dm = np.empty((MEMBERS, n), np.float32)
         for k, at in runs:
-            np.matmul(h[at], self.members[k], out=dm[at])
+            np.matmul(self.members[k].T, h[at].T, out=dm[:, at])
         dm, total = _exponentials(dm)
         dm /= total
-        dm[row, member] -= 1
+        dm[member, row] -= 1
         for k, at in runs:
-            np.matmul(h[at].T, dm[at], out=grad.members[k])
-            dh[at] += dm[at] @ self.members[k].T
+            np.matmul(h[at].T, dm[:, at].T, out=grad.members[k])
+            dh[at] += dm[:, at].T @ self.members[k].T
         inner = h[:, :HIDDEN]
         dz = dh[:, :HIDDEN] * (1 - inner * inner)
         grad.slots[:] = e.T @ dz
@@ -135,9 +138,16 @@ class Network:
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log P(target | both sides) of each row."""
-        tables = np.einsum("ve,seh->svh", self.embedding, self.slots.reshape(len(SLOTS), EMBEDDED, HIDDEN))  # the first layer, looked up
+        tables = np.matmul(self.embedding, self.slots.reshape(len(SLOTS), EMBEDDED, HIDDEN))  # the first layer, looked up
         order = np.argsort(targets, kind="stable")
-        contexts, targets = contexts[order], targets[order]
+        out = np.empty(len(targets), np.float32)
+        for k in range(0, len(order), AT_ONCE):
+            rows = order[k : k + AT_ONCE]
+            out[rows] = self._sorted_log_probabilities(tables, np.take(contexts, rows, axis=0), targets[rows])
+        return out
+
+    def _sorted_log_probabilities(self, tables: np.ndarray, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The same for targets in order, so that a group's rows lie together."""
         z = self.bias + np.take(tables[0], contexts[:, 0], axis=0)
         for s in range(1, len(SLOTS)):
             z += np.take(tables[s], contexts[:, s], axis=0)
@@ -145,17 +155,15 @@ class Network:
         np.tanh(z, out=h[:, :HIDDEN])
         group, member = np.divmod(targets, MEMBERS)
         row = np.arange(len(targets))
-        p, total = _exponentials(h @ self.groups)
-        q = np.empty((len(targets), MEMBERS), np.float32)
-        ends = np.searchsorted(group, np.arange(GROUPS + 1))
-        for k in range(GROUPS):
+        p, total = _exponentials(self.groups.T @ h.T)  # a column for each target
+        q = np.empty((MEMBERS, len(targets)), np.float32)
+        ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        for k in range(int(group[0]), int(group[-1]) + 1):
             at = slice(ends[k], ends[k + 1])
-            np.matmul(h[at], self.members[k], out=q[at])
+            np.matmul(self.members[k].T, h[at].T, out=q[:, at])
         q, inside = _exponentials(q)
         tiny = np.float32(1e-38)  # a probability that float32 can't hold
-        out = np.empty(len(targets), np.float32)
-        out[order] = np.log(np.maximum(p[row, group], tiny)) - np.log(total[:, 0]) + np.log(np.maximum(q[row, member], tiny)) - np.log(inside[:, 0])
-        return out
+        return np.log(np.maximum(p[group, row], tiny)) - np.log(total) + np.log(np.maximum(q[member, row], tiny)) - np.log(inside)
 
 
 class Tokens:

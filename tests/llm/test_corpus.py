@@ -495,6 +495,28 @@ def test_log_likelihood_equals_brute_force(spark, docs, texts):
             assert got[d] == pytest.approx(total, rel=1e-4, abs=1e-3)
 
 
+def test_a_score_works_in_small_parts():
+    """Targets scored at once are worked on a part at a time, whatever their order, and score as one by one."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    net = M.Network.started(rng.integers(0, 900, M.VOCABULARY).astype(float))
+    net.flat += rng.normal(0, 0.5, len(net.flat)).astype(np.float32)
+    c, t = (rng.integers(0, M.VOCABULARY + 1 - k, (M.SCORED, 4) if not k else M.SCORED).astype(np.int16) for k in (0, 1))
+    net.log_probabilities(c[:9], t[:9])
+    tracemalloc.start()
+    got = net.log_probabilities(c, t)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < M.SCORED * M.MEMBERS * 4  # less than a single table of the members' probabilities of all targets
+    for k in range(0, M.SCORED, 997):
+        h = np.append(np.tanh(net.embedding[c[k]].reshape(-1).astype(float) @ net.slots + net.bias), 1.0)
+        g, m = divmod(int(t[k]), M.MEMBERS)
+        want = sum(z[i] - z.max() - np.log(np.exp(z - z.max()).sum()) for z, i in ((h @ net.groups, g), (h @ net.members[g], m)))
+        assert got[k] == pytest.approx(want, rel=1e-4, abs=1e-3)
+    assert len(net.log_probabilities(c[:0], t[:0])) == 0
+
+
 def test_words_of_a_bucket_score_apart(spark, docs, texts, odd, monkeypatch):
     words = M.word_counts(docs).cache()
     known, model = M.train(docs, words=words)
